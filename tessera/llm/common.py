@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context, so that workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.relpath(at, os.path.dirname(top)))
+    to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tessera-")), "tessera.zip")
+    with open(to, "wb") as f:
+        f.write(packed.getvalue())
+    sc.addPyFile(to)
+    sc._tessera_shipped = True
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

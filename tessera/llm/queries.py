@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, simhash, url_filter
 from .common import table
 
 
@@ -28,5 +28,9 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_reputation": op2_url_reputation}
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_reputation": op2_url_reputation, "op3_simhash_bktree": op3_simhash_bktree}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
