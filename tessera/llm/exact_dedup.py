@@ -39,7 +39,7 @@ class DigestIndex:
 
     def _write(self, df: DataFrame, name: str) -> str:
         to = f"{self.path}/{name}"
-        (df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true")
+        (df.sortWithinPartitions("digest").write.options(**{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
          .option("compression", "zstd").parquet(to))
         return to
 
