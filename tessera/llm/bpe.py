@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pick
 
 #: Words that a worker remembers at most, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 200_000, 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
 SPACE, LETTER, DIGIT, OTHER, EDGE, UNKNOWN = range(6)
 _GAP = 0x110000  # no character: stands between texts
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -42,16 +43,25 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _class(c: str) -> int:
+    """By Unicode category; characters newer than Python's tables are asked of the tokenizers library's splitter."""
+    kind = unicodedata.category(c)
+    if kind == "Cn":
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        joins = lambda x: len(ByteLevel(add_prefix_space=False).pre_tokenize_str(x + c)) == 1
+        return LETTER if joins("a") else DIGIT if joins("1") else OTHER
+    white = kind[0] == "Z" or c in "\t\n\x0b\f\r\x85"
+    return SPACE if white else LETTER if kind[0] == "L" else DIGIT if kind[0] == "N" else OTHER
+
+
 def _classify(points: np.ndarray) -> np.ndarray:
     """Unicode classes; characters are looked up when first met."""
     table = _classes()
     cls = table[points]
     if (cls == UNKNOWN).any():
-        import regex
-
         for p in np.unique(points[cls == UNKNOWN]).tolist():
-            c = chr(p)
-            table[p] = LETTER if regex.match(r"\p{L}", c) else DIGIT if regex.match(r"\p{N}", c) else SPACE if regex.match(r"\p{White_Space}", c) else OTHER
+            table[p] = _class(chr(p))
         cls = table[points]
     return cls
 
@@ -108,38 +118,39 @@ class BPE:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, pairs[:, 2]
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, all words merged together."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        never = len(self.made)
+        never, done = len(self.made), []
         while len(sym):
             key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if never else np.zeros(len(key), np.int64)
             rank = np.full(len(sym), never)
             if never:
+                at = np.minimum(np.searchsorted(self.keys, key), never - 1)
                 known = (self.keys[at] == key) & (word[1:] == word[:-1])
                 rank[:-1][known] = self.ranks[at[known]]
             heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lengths = np.diff(np.r_[heads, len(sym)])
             low = np.minimum.reduceat(rank, heads)
-            ended = low == never
-            for h, n in zip(heads[ended].tolist(), lengths[ended].tolist()):
-                out[word[h]] = sym[h : h + n]
             each = np.repeat(low, lengths)
-            take = (rank == each) & (each < never)
+            going = each < never
+            done.append((word[~going], sym[~going]))
             # of places that overlap (the same symbol again and again) every other one merges
-            places = np.flatnonzero(take)
+            places = np.flatnonzero((rank == each) & going)
             if len(places):
-                runs = np.r_[True, np.diff(places) != 1]
-                nth = np.arange(len(places)) - np.maximum.accumulate(np.where(runs, np.arange(len(places)), 0))
+                nth = np.arange(len(places))
+                nth -= np.maximum.accumulate(np.where(np.r_[True, np.diff(places) != 1], nth, 0))
                 places = places[nth % 2 == 0]
                 sym[places] = self.made[rank[places]]
-            stay = np.repeat(~ended, lengths)
-            stay[places + 1] = False
-            sym, word = sym[stay], word[stay]
-        return out
+                going[places + 1] = False
+            sym, word = sym[going], word[going]
+        if not done:
+            return [[] for _ in words]
+        owner, ids = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        flat = ids[np.argsort(owner, kind="stable")].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids) -> str:
         return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
@@ -159,7 +170,7 @@ class BPE:
         for part, token in self.pieces(text):
             if token is None:
                 (words,) = cut([part])
-                out += [int(i) for ids in self.encode_words([w.encode() for w in words]) for i in ids]
+                out += [i for ids in self.encode_words([w.encode() for w in words]) for i in ids]
             else:
                 out.append(token)
         return out
@@ -171,21 +182,27 @@ def load(path: str) -> BPE:
 
 
 class Memory:
-    """What is made of each word's ids, kept per word up to REMEMBERED words."""
-
-    def __init__(self, encode, make, added: dict[str, int]):
-        self.encode, self.make, self.added, self.known = encode, make, added, {}
-
-    def of(self, words: list[str]) -> list:
-        got = list(map(self.known.get, words))
-        if None in got:
-            new = list({w for w, g in zip(words, got) if g is None})
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.encode(new)):
-                self.known[w] = self.make(ids)
-            got = list(map(self.known.__getitem__, words))
+    """What ``make`` gives for the ids of a word, kept for the words met last: two generations of REMEMBERED words."""
+
+    def __init__(self, encode, make):
+        self.encode, self.make, self.young, self.old = encode, make, {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        for w in [w for w in words if w in self.old]:
+            self.young[w] = self.old[w]
+        new = [w for w in words if w not in self.young]
+        self.young.update(zip(new, map(self.make, self.encode(new))))
+
+    def of(self, lists: list[list[str]]) -> list[list]:
+        got = [list(map(self.young.get, words)) for words in lists]
+        new = {w for words, g in zip(lists, got) if None in g for w, x in zip(words, g) if x is None}
+        if new:
+            if len(self.young) > REMEMBERED:  # the generations change: all words of these lists are needed
+                new = {w for words in lists for w in words}
+            self.learn(new)
+            got = [list(map(self.young.__getitem__, words)) if None in g else g for words, g in zip(lists, got)]
         return got
 
 
@@ -198,31 +215,37 @@ def of_texts(bpe: BPE, memory: Memory, texts: list[str]) -> Iterator[list]:
             size += len(texts[end])
             end += 1
         parts = [bpe.pieces(t) for t in texts[at:end]]
-        words = cut([p for ps in parts for p, token in ps if token is None])
-        known = [[next(words) if token is None else token for _, token in ps] for ps in parts]
-        new = {w for k in known for ws in k if not isinstance(ws, int) for w in ws} - memory.known.keys()
-        if new:
-            memory.of(list(new))
-        for k in known:
-            out: list = []
-            for ws in k:
-                out += [memory.make([ws])] if isinstance(ws, int) else memory.of(ws)
-            yield out
+        known = iter(memory.of(list(cut([p for ps in parts for p, token in ps if token is None]))))
+        for ps in parts:
+            if len(ps) == 1 and ps[0][1] is None:
+                yield next(known)
+            else:
+                yield [x for _, token in ps for x in (next(known) if token is None else [memory.make([token])])]
         at = end
 
 
 _memories: dict = {}
 
 
+def _remembering(path: str, kind: str, make) -> tuple[BPE, Memory]:
+    """A worker's own memory outlives its tasks."""
+    bpe = load(path)
+    if (path, kind) not in _memories:
+        _memories[path, kind] = Memory(lambda ws: bpe.encode_words([w.encode() for w in ws]), make(bpe))
+    return bpe, _memories[path, kind]
+
+
+def _listed(bpe: BPE):
+    decimal = [b"%d" % i for i in range(bpe.size)]
+    return lambda ids: (b",".join([decimal[i] for i in ids]), b"".join([bpe.bytes[i] for i in ids]))
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        if path not in _memories:
-            tokens = bpe.bytes
-            _memories[path] = Memory(lambda ws: bpe.encode_words([w.encode() for w in ws]), lambda ids: (b",".join(b"%d" % i for i in ids), b"".join([tokens[i] for i in map(int, ids)])), bpe.added)
+        bpe, memory = _remembering(path, "listed", _listed)
         for batch in batches:
             n, ids, back = [], [], []
-            for got in of_texts(bpe, _memories[path], [t or "" for t in batch.column(1).to_pylist()]):
+            for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()]):
                 listed = b",".join([g[0] for g in got])
                 n.append(listed.count(b",") + 1 if got else 0)
                 ids.append(hashlib.sha256(listed).hexdigest())
@@ -234,11 +257,10 @@ def _digests(path: str):
 
 def _round(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        memory = Memory(lambda ws: bpe.encode_words([w.encode() for w in ws]), lambda ids: np.asarray(ids, np.int32), bpe.added)
+        bpe, memory = _remembering(path, "ids", lambda _: lambda ids: ids)
         for batch in batches:
-            ids = [np.concatenate(got) if got else np.empty(0, np.int32) for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tolist() for i in ids], pa.list_(pa.int32())), pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())], names=["id", "ids", "decoded"])
+            ids = [[i for w in got for i in w] for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=["id", "ids", "decoded"])
 
     return run
 

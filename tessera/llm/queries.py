@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, url_filter
+from . import bpe, exact_dedup, simhash, token_files, url_filter
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("digest", "text_sha256")
 
@@ -32,5 +38,14 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_reputation": op2_url_reputation, "op3_simhash_bktree": op3_simhash_bktree}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.TokenFiles.write(table(spark, sf_dir, "documents"), tokenizer_path())
+    return files.documents().withColumnRenamed("id", "doc_id")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip)}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
