@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_files, url_filter
+from . import bpe, exact_dedup, mixing, simhash, token_files, url_filter
 from .common import table
 
 
@@ -47,5 +47,9 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip)}
+def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op9_pivotal_mix)}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
