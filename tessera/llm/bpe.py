@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -259,8 +260,13 @@ def _round(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = _remembering(path, "ids", lambda _: lambda ids: ids)
         for batch in batches:
-            ids = [[i for w in got for i in w] for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=["id", "ids", "decoded"])
+            ids, decoded = [], []
+            for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()]):
+                ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+                decoded.append(bpe.decode(ids[-1].tolist()))
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return run
 

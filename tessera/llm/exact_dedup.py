@@ -119,6 +119,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.expr("id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("digest"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows that stay, with all their columns. Rows that repeat an id and a text are one document and stay together."""
+    stays = exact_dedup(docs, id_col, text_col, **how).filter("kept").select(F.col(id_col).alias("__id"), F.unhex("digest").alias("__digest")).distinct()
+    digest = how.get("digest", sha256)(text_or_empty(f"`{text_col}`"))
+    return docs.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
+
+
 def _split_collisions(found: DataFrame, differ: DataFrame, index: DigestIndex) -> DataFrame:
     """Rows that only share a digest form groups by text; their number is taken from the group whose text stays."""
     parts = stage(differ.groupBy("digest", "text").agg(index.best("id").alias("keep2"), F.count("*").alias("n2")), "collision-groups")

@@ -144,3 +144,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()))], names=[*part.schema.names, out_col])
 
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+
+
+def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score at least ``threshold``, with all their columns."""
+    return score(docs, model, text_col, "__score").filter(F.col("__score") >= threshold).drop("__score")
