@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_knn, quality_llr, simhash, token_files, url_filter
+from . import bpe, exact_dedup, mixing, quality_knn, quality_llr, secret_scan, simhash, token_files, url_filter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op7_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_knn.held_out().alias("held_out"), "score", F.when(F.col("score") >= quality_knn.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,5 +68,5 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.judge(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op7_latent_neighbours, op9_pivotal_mix, op10_ngram_ratio)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op7_latent_neighbours, op8_randomness_battery, op9_pivotal_mix, op10_ngram_ratio)}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
