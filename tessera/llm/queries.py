@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_knn, quality_llr, secret_scan, simhash, token_files, url_filter
+from . import bpe, exact_dedup, mixing, quality_knn, quality_llr, secret_scan, simhash, substring, token_files, url_filter
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_passages(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op7_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,5 +72,5 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.judge(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op7_latent_neighbours, op8_randomness_battery, op9_pivotal_mix, op10_ngram_ratio)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op6_block_anchors, op7_latent_neighbours, op8_randomness_battery, op9_pivotal_mix, op10_ngram_ratio)}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
