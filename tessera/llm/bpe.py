@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pick
 
 #: Words that a worker remembers at most, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+REMEMBERED, AT_ONCE = 400_000, 1 << 20
 SPACE, LETTER, DIGIT, OTHER, EDGE, UNKNOWN = range(6)
 _GAP = 0x110000  # no character: stands between texts
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -79,11 +79,10 @@ def cut(texts: list[str]) -> Iterator[list[str]]:
     # character stands for itself if a word follows
     begins = np.where(space, (before != SPACE) | ((after != SPACE) & (after != EDGE)), (before != here) & ~((before == SPACE) & (prev == 0x20)))
     begins = np.r_[True, begins, True]
-    for c in CONTRACTIONS:
-        at = np.flatnonzero((points[:-2] == ord("'")) & (points[1:-1] == ord(c[1])))
-        if not len(at):
-            continue
-        at = at[begins[at] & (cls[at - 1] != OTHER) & (points[at - 1] != 0x20)]
+    marks = np.flatnonzero(points == ord("'"))
+    marks = marks[begins[marks] & (cls[marks - 1] != OTHER) & (points[marks - 1] != 0x20)]
+    for c in CONTRACTIONS if len(marks) else ():
+        at = marks[points[marks + 1] == ord(c[1])]
         if len(c) == 3:
             at = at[points[at + 2] == ord(c[2])]
         begins[at + 1] = False
@@ -182,33 +181,36 @@ def load(path: str) -> BPE:
     return BPE(path)
 
 
-class Memory:
-    """What ``make`` gives for the ids of a word, kept for the words met last: two generations of REMEMBERED words."""
+class Memory(dict):
+    """A cell for each word met last, holding what ``make`` gives for its ids; two generations of REMEMBERED words.
+
+    A word that isn't there gets an empty cell, which ``of`` fills with those of all other new words.
+    """
 
     def __init__(self, encode, make):
-        self.encode, self.make, self.young, self.old = encode, make, {}, {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        for w in [w for w in words if w in self.old]:
-            self.young[w] = self.old[w]
-        new = [w for w in words if w not in self.young]
-        self.young.update(zip(new, map(self.make, self.encode(new))))
-
-    def of(self, lists: list[list[str]]) -> list[list]:
-        got = [list(map(self.young.get, words)) for words in lists]
-        new = {w for words, g in zip(lists, got) if None in g for w, x in zip(words, g) if x is None}
-        if new:
-            if len(self.young) > REMEMBERED:  # the generations change: all words of these lists are needed
-                new = {w for words in lists for w in words}
-            self.learn(new)
-            got = [list(map(self.young.__getitem__, words)) if None in g else g for words, g in zip(lists, got)]
+        self.encode, self.make, self.old, self.fresh = encode, make, {}, []
+
+    def __missing__(self, word: str) -> list:
+        cell = self.old.get(word)
+        if cell is None:
+            cell = []
+            self.fresh.append(word)
+        self[word] = cell
+        return cell
+
+    def of(self, lists: list[list[str]]) -> list[list[list]]:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        got = [list(map(self.__getitem__, words)) for words in lists]
+        for word, ids in zip(self.fresh, self.encode(self.fresh)):
+            self[word] += self.make(ids)
+        self.fresh = []
         return got
 
 
 def of_texts(bpe: BPE, memory: Memory, texts: list[str]) -> Iterator[list]:
-    """For each text, what ``memory`` makes of its words and added tokens, in order."""
+    """For each text, the cells of its words and added tokens, in order."""
     at = 0
     while at < len(texts):
         size, end = 0, at
@@ -221,7 +223,7 @@ def of_texts(bpe: BPE, memory: Memory, texts: list[str]) -> Iterator[list]:
             if len(ps) == 1 and ps[0][1] is None:
                 yield next(known)
             else:
-                yield [x for _, token in ps for x in (next(known) if token is None else [memory.make([token])])]
+                yield [x for _, token in ps for x in (next(known) if token is None else [list(memory.make([token]))])]
         at = end
 
 
@@ -258,11 +260,11 @@ def _digests(path: str):
 
 def _round(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memory = _remembering(path, "ids", lambda _: lambda ids: ids)
+        bpe, memory = _remembering(path, "ids", lambda _: lambda ids: (ids,))
         for batch in batches:
             ids, decoded = [], []
             for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()]):
-                ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+                ids.append(np.fromiter(chain.from_iterable([g[0] for g in got]), np.int32))
                 decoded.append(bpe.decode(ids[-1].tolist()))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))

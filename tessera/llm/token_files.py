@@ -12,7 +12,9 @@ reads, with the smallest and largest id beside them, so any store that Spark rea
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memory, load, of_texts
+from .bpe import Memory, byte_chars, load, of_texts
 from .common import arrow_map, fresh_path, pick
 
 MAGIC, HEADER = b"TSHD0001", struct.Struct("<8sIIIIQ")  # magic, id width, rows, rows with a null id, levels, payload bytes
@@ -139,13 +141,13 @@ _memories: dict = {}
 
 
 def _library(path: str, width: int) -> Memory:
-    """Encodes words with the tokenizers library; a worker's memory outlives its tasks."""
+    """Encodes words with the tokenizers library's model; a worker's memory outlives its tasks."""
     if path not in _memories:
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        encode = lambda words: [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
-        _memories[path] = Memory(encode, lambda ids: np.array(ids, f"<u{width}").tobytes())
+        model, shown, code = Tokenizer.from_file(path).model, dict(enumerate(byte_chars())), {2: "H", 4: "I"}[width]
+        encode = lambda words: [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(shown))] for w in words]
+        _memories[path] = Memory(encode, lambda ids: (np.array(ids, f"<u{width}").tobytes() if sys.byteorder != "little" else array(code, ids).tobytes(),))
     return _memories[path]
 
 
@@ -166,7 +168,7 @@ def _writer(path: str, width: int, end: int | None, shard_bytes: int):
             keys = batch.column(0).to_pylist()
             for key, got in zip(keys, of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()])):
                 ids.append(key)
-                tokens.append(b"".join(got) + tail)
+                tokens.append(b"".join([g[0] for g in got]) + tail)
                 size += len(tokens[-1])
                 if size >= shard_bytes:
                     yield shard()
