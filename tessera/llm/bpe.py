@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pick
 
 #: Words that a worker remembers at most, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+REMEMBERED, AT_ONCE = 200_000, 1 << 20
 SPACE, LETTER, DIGIT, OTHER, EDGE, UNKNOWN = range(6)
 _GAP = 0x110000  # no character: stands between texts
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -182,13 +182,13 @@ def load(path: str) -> BPE:
 
 
 class Memory(dict):
-    """A cell for each word met last, holding what ``make`` gives for its ids; two generations of REMEMBERED words.
+    """A cell for each word met last, holding what ``make`` gives for its ids; two generations of ``limit`` words.
 
     A word that isn't there gets an empty cell, which ``of`` fills with those of all other new words.
     """
 
-    def __init__(self, encode, make):
-        self.encode, self.make, self.old, self.fresh = encode, make, {}, []
+    def __init__(self, encode, make, limit: int = REMEMBERED):
+        self.encode, self.make, self.limit, self.old, self.fresh = encode, make, limit, {}, []
 
     def __missing__(self, word: str) -> list:
         cell = self.old.get(word)
@@ -199,7 +199,7 @@ class Memory(dict):
         return cell
 
     def of(self, lists: list[list[str]]) -> list[list[list]]:
-        if len(self) > REMEMBERED:
+        if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
         got = [list(map(self.__getitem__, words)) for words in lists]

@@ -30,6 +30,8 @@ MAGIC, HEADER = b"TSHD0001", struct.Struct("<8sIIIIQ")  # magic, id width, rows,
 SHARD_BYTES = 4 << 20
 #: Bits of a level for each key that is left, and levels before the rest is kept in order.
 GAMMA, LEVELS = 2.0, 40
+#: Words that a worker remembers: its cells are small, and the library's model costs more than the numpy rounds.
+REMEMBERED = 400_000
 SCHEMA = "task int, nth int, first_id long, last_id long, n_docs long, n_tokens long, shard binary"
 
 
@@ -147,7 +149,7 @@ def _library(path: str, width: int) -> Memory:
 
         model, shown, code = Tokenizer.from_file(path).model, dict(enumerate(byte_chars())), {2: "H", 4: "I"}[width]
         encode = lambda words: [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(shown))] for w in words]
-        _memories[path] = Memory(encode, lambda ids: (np.array(ids, f"<u{width}").tobytes() if sys.byteorder != "little" else array(code, ids).tobytes(),))
+        _memories[path] = Memory(encode, lambda ids: (np.array(ids, f"<u{width}").tobytes() if sys.byteorder != "little" else array(code, ids).tobytes(),), REMEMBERED)
     return _memories[path]
 
 
