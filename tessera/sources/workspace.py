@@ -49,7 +49,7 @@ VIEWS |= {
     "f_marks": f"""select f.file_id, v.kind, v.name, v.text, v.flags, concat('fn_', cast(o.o_orderkey % 50 as varchar(20))) as fn, cast(o.o_orderkey % 120 + 1 as int) as line
  from orders o join w_files f on f.file_id = o.o_orderkey % (select count(*) from part)
  join {vocabulary.values(vocabulary.MARKS)} as v(language, k, kind, name, text, flags) on v.language = f.language and v.k = (o.o_custkey + o.o_orderkey * 5) % 16""",
-    "f_sizes": "select o_orderkey as fn_id, cast(o_totalprice as bigint) % 400 as n_lines, o_custkey % 8 as n_params from orders",
+    "f_sizes": "select o_orderkey as fn_id, cast(floor(o_totalprice) as bigint) % 400 as n_lines, o_custkey % 8 as n_params from orders",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
