@@ -109,7 +109,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pages = stage(hit_filter(entries, filter_bits), "hit-filter")
     hits = stage(may_hit(hashed, pages, filter_bits).join(groups, "digest"), "hits")
     stays = hits.filter("id <=> keep_id").select("digest", F.col("text").alias("kept_text"))
-    stays = stays.groupBy("digest").agg(F.min("kept_text").alias("kept_text"))  # a repeated id may stand with several texts
+    # a repeated id may stand with several texts; staged, so that the join below has no aggregate on either side and a hot digest's partition can be split
+    stays = stage(stays.groupBy("digest").agg(F.min("kept_text").alias("kept_text")), "kept-texts")
     differ = stage(hits.join(stays, "digest").filter("text != kept_text").select("id", "digest", "text"), "collisions")
 
     found = log.select("id", "digest").join(groups.select("digest", "keep_id", "n"), "digest", "left")
