@@ -34,6 +34,38 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _shrunk(name: str, counts: str, parent: str) -> str:
+    """CTEs that shrink the rates of ``counts`` (key columns, bad, n, prior) towards their parents' prior."""
+    by, on = (f"group by {parent}", f"s.{parent} = c.{parent}") if parent else ("", "true")
+    keys = f"{parent}, " if parent else ""
+    return f"""{name}_s as (select {keys}any_value(prior) as mean, count(*) as k, sum(n * (bad / n - prior) * (bad / n - prior)) as ss, sum(n) as total from {counts} {by}),
+{name}_t as (select *, least(greatest(mean * (1 - mean) / greatest((ss - k * (mean * (1 - mean))) / total, 1e-9::double) - 1, 2::double), 1000::double) as strength from {name}_s),
+{name} as (select c.*, c.bad + s.strength * c.prior as alpha, c.n - c.bad + s.strength * (1 - c.prior) as beta from {counts} c join {name}_t s on {on})"""
+
+
+OP2_SQL = f"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {UPPER_LOWER}), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+named as (select *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, list_extract(string_split(host, '.'), -1) as suffix from p),
+hosts as (select host, domain, suffix, sum(case when l.quality = 0 or l.toxic = 1 then 1 else 0 end)::double as bad, count(*)::double as n from named join labels l on l.doc_id = page_id group by host, domain, suffix),
+domains as (select suffix, domain, sum(bad) as bad, sum(n) as n from hosts group by suffix, domain),
+suffixes as (select suffix, sum(bad) as bad, sum(n) as n from domains group by suffix),
+whole as (select coalesce(sum(bad), 0) + 1 as alpha, coalesce(sum(n - bad), 0) + 1 as beta from suffixes),
+s_in as (select suffixes.*, (select alpha / (alpha + beta) from whole) as prior from suffixes), {_shrunk("s", "s_in", "")},
+d_in as (select domains.*, s.alpha / (s.alpha + s.beta) as prior from domains join s on s.suffix = domains.suffix), {_shrunk("d", "d_in", "suffix")},
+h_in as (select hosts.host, hosts.domain, hosts.bad, hosts.n, d.alpha / (d.alpha + d.beta) as prior from hosts join d on d.domain = hosts.domain), {_shrunk("h", "h_in", "domain")},
+j as (select named.*, coalesce(h.alpha, d.alpha, s.alpha, whole.alpha) as a, coalesce(h.beta, d.beta, s.beta, whole.beta) as b from named
+ left join h on h.host = named.host left join d on d.domain = named.domain left join s on s.suffix = named.suffix cross join whole),
+r as (select *, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/7') then 'example.com/en/7' when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'
+ when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/en/') then 'com/en/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/de/') then 'net/de/'
+ when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/es/') then 'org/es/' end as rule from j)
+select page_id, host, path, rule, case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow'
+ when a / (a + b) - 1.645::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 then 'block' else 'allow' end as verdict from r
+"""
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -73,4 +105,4 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_url_reputation, op3_simhash_bktree, op4_token_files, op5_bpe_round_trip, op6_block_anchors, op7_latent_neighbours, op8_randomness_battery, op9_pivotal_mix, op10_ngram_ratio)}
-ORACLE = {"op1_exact_dedup": OP1_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_url_reputation": OP2_SQL}
