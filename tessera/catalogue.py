@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import classify as C
-from .operators import coverage, enrich, findings, graph, risk, rules
+from .operators import coverage, enrich, faults, findings, graph, risk, rules
 from .operators.rules import engine, metrics
 from .sources.workspace import Workspace, with_views
+from .streaming.spans import remote_windows as windows_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -398,7 +399,7 @@ b as (select fn_id, ops, base + n_params as opnds, greatest(floor(1.5::double *
 c as (select fn_id, round((ops + opnds) * log2(n1 + n2), 6) as volume, round(n1 / 2 * (opnds / n2), 6) as difficulty, round((ops + opnds) * log2(n1 + n2) / 3000, 6) as bugs from b where ops >= 5)"""
 
 
-@query(f"with {HALSTEAD} select fn_id, round(volume, 4) as volume, round(difficulty, 4) as difficulty, round(bugs, 4) as bugs, severity from (select *, case when volume > 1500 or difficulty > 40 or bugs > 1 then 'High' when volume > 1000 or difficulty > 30 or bugs > 0.5 then 'Medium' end as severity from c) where severity is not null")
+@query(f"with {HALSTEAD} select * from (select *, case when volume > 1500 or difficulty > 40 or bugs > 1 then 'High' when volume > 1000 or difficulty > 30 or bugs > 0.5 then 'Medium' end as severity from c) where severity is not null")
 def rule_halstead(w):
     return metrics.halstead(w.view("f_sizes"))
 
@@ -432,3 +433,31 @@ def file_discovery(w):
 @query("select module, count(*) as n, string_split_regex(module, '[./]')[1] as package from f_imports group by module")
 def packages(w):
     return w.view("f_imports").groupBy("module").agg(F.count("*").alias("n")).withColumn("package", C.package_name(F.col("module")))
+
+
+@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions union all select t.anchor, c.src, t.depth + 1 from t join w_calls c on c.dst = t.fn where t.depth < 4)
+select distinct t.anchor, f.http_method, f.http_path from t join w_functions f on f.fn_id = t.fn where f.is_handler""")
+def fault_routes(w):
+    return faults.fault_routes(w.calls, w.functions, w.functions, 4)
+
+
+@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union all select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 3)
+select distinct t.anchor, l.category, l.name as upstream from t join w_functions f on f.fn_id = t.fn join w_uses u on u.src = f.file_id join w_libs l on l.lib_id = u.lib_id where l.category in ('HttpClient', 'Database')""")
+def fault_egress(w):
+    return faults.egress_targets(w.calls, w.functions, w.uses, w.libs, w.functions.filter("is_handler"), 3)
+
+
+@query("""select time_bucket(interval '5 minutes', start_time) as start, time_bucket(interval '5 minutes', start_time) + interval '5 minutes' as "end", service, count(*) as n, round(sum(latency_ms), 4) as total_ms, max(latency_ms) as max_ms
+from w_spans where kind in ('RPC_CLIENT', 'CLIENT') group by 1, 2, 3""")
+def remote_windows(w):
+    return windows_of(w.spans).withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query("select term, meaning from (values " + ", ".join(f"('{t}', '{m}')" for t, m in risk.GLOSSARY) + ") as v(term, meaning)")
+def glossary(w):
+    return risk.glossary(w.spark)
+
+
+@query("select kind, flag, value from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in faults.TEMPLATES) + ") as v(kind, flag, value)")
+def fault_templates(w):
+    return faults.templates(w.spark)

@@ -19,7 +19,7 @@ def halstead(functions: DataFrame, least_lines: int = 5) -> DataFrame:
     difficulty = F.col("n1") / 2 * (F.col("opnds") / F.col("n2"))
     d = d.withColumn("volume", F.round(volume, 6)).withColumn("difficulty", F.round(difficulty, 6)).withColumn("bugs", F.round(F.col("volume") / 3000, 6)).filter("ops >= 5")
     severity = F.when((F.col("volume") > 1500) | (F.col("difficulty") > 40) | (F.col("bugs") > 1), "High").when((F.col("volume") > 1000) | (F.col("difficulty") > 30) | (F.col("bugs") > 0.5), "Medium")
-    return d.select("fn_id", *[F.round(c, 4).alias(c) for c in ("volume", "difficulty", "bugs")], severity.alias("severity")).filter("severity is not null")
+    return d.select("fn_id", "volume", "difficulty", "bugs", severity.alias("severity")).filter("severity is not null")
 
 
 def duplicates(functions: DataFrame, least: float = 0.85) -> DataFrame:
