@@ -1,8 +1,8 @@
 """The rule contract, the registry and evaluation.
 
 A rule reads one fact table and reports its rows that fit a predicate, in files that have (semi-join) or lack
-(anti-join) certain facts. It is a declaration: rules compile to SQL, and those chosen run as one union, so all of them
-share the scans of the fact tables and nothing is collected.
+(anti-join) certain facts. It is a declaration: ``rule_sql`` states a rule as a query, and ``evaluate`` runs those chosen
+together over shared scans of the fact tables; nothing is collected.
 
 Fact tables: ``calls`` (file_id, callee, args, fn, flags, line), ``marks`` (file_id, kind, name, text, fn, flags, line)
 for everything an extractor marks (handlers of exceptions, goroutines, unsafe blocks, HTTP calls, routes, ...),
@@ -118,16 +118,66 @@ def union_sql(rules) -> str:
     return "\nunion all\n".join(rule_sql(r) for r in rules)
 
 
-def evaluate(facts: dict[str, DataFrame], ids=None) -> DataFrame:
-    """The findings of the chosen rules (all without ``ids``), in no order. facts: a DataFrame for each of TABLES."""
+def _run(sql: str, facts: dict[str, DataFrame], **more: DataFrame) -> DataFrame:
+    """SQL over the fact tables and ``more``, by name."""
     import re
 
+    frames = facts | more
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces in patterns would read as parameters
+    sql = re.sub(rf"\b(from|join) ({'|'.join(frames)})\b", r"\1 {\2}", sql)
+    return facts["files"].sparkSession.sql(sql, **{t: f for t, f in frames.items() if f"{{{t}}}" in sql})
+
+
+def _simple(rule: Rule) -> bool:
+    """Whether a rule is a test of a row and of its file alone."""
+    return not (rule.at_least or rule.workspace_without or "select" in rule.where)
+
+
+def _gates(rules: list[Rule], facts: dict[str, DataFrame]) -> DataFrame:
+    """(file_id, allowed): per file, the numbers of the rules whose file-level conditions hold, from one aggregate of each table."""
+    tests: dict[str, list[str]] = {"imports": [], "calls": [], "marks": []}
+
+    def some(table: str, fits: str) -> str:
+        if fits not in tests[table]:
+            tests[table].append(fits)
+        return f"coalesce({table}_{tests[table].index(fits)}, false)"
+
+    allowed = []
+    for k, r in enumerate(rules):
+        parts = [f"f.language = {quote(r.language)}"]
+        parts += [some("imports", has("x.module", *r.imports))] if r.imports else []
+        parts += ["not " + some("imports", has("x.module", *r.no_imports))] if r.no_imports else []
+        for table, yes, no in (("calls", r.calls, r.no_calls), ("marks", r.marks, r.no_marks)):
+            parts += [some(table, yes)] if yes else []
+            parts += ["not " + some(table, no)] if no else []
+        allowed.append(f"case when {' and '.join(parts)} then {k} end")
+    joins, frames = "", {}
+    for table, fits in tests.items():
+        if fits:
+            flags = ", ".join(f"bool_or({t}) as {table}_{n}" for n, t in enumerate(fits))
+            frames[f"{table}_gates"] = _run(f"select x.file_id, {flags} from {table} x group by x.file_id", facts)
+            joins += f" left join {table}_gates g_{table} on g_{table}.file_id = f.file_id"
+    return _run(f"select f.file_id, filter(array({', '.join(allowed)}), k -> k is not null) as allowed from files f{joins}", facts, **frames)
+
+
+def evaluate(facts: dict[str, DataFrame], ids=None) -> DataFrame:
+    """The findings of the chosen rules (all without ``ids``), in no order. facts: a DataFrame for each of TABLES.
+
+    Rules that test a row and its file share one aggregate and one scan of each fact table, whatever their number; those
+    with thresholds or conditions on other rows run as queries of their own.
+    """
     rules = [r for k, r in registry().items() if ids is None or k in set(ids)]
     spark = facts["files"].sparkSession
-    if not rules:
-        return spark.createDataFrame([], "rule_id string, file_id long, line int, severity string, dimension string")
-    # literal braces in patterns would read as parameters
-    sql = union_sql(rules).replace("{", "{{").replace("}", "}}")
-    sql = re.sub(rf"\bfrom ({'|'.join(TABLES)})\b", r"from {\1}", sql)
-    used = {t: facts[t] for t in TABLES if f"{{{t}}}" in sql}
-    return spark.sql(sql, **used)
+    out = spark.createDataFrame([], "rule_id string, file_id long, line int, severity string, dimension string")
+    shared = [r for r in rules if _simple(r)]
+    gates = _gates(shared, facts).filter("size(allowed) > 0") if shared else None
+    for table in TABLES:
+        mine = [(k, r) for k, r in enumerate(shared) if r.table == table]
+        if mine:
+            line = "1" if table == "files" else "r.line"
+            found = [f"case when array_contains(g.allowed, {k}) and ({r.where}) then named_struct('rule_id', {quote(r.id)}, 'severity', {r.severity}, 'dimension', {quote(r.dimension)}) end" for k, r in mine]
+            hit = f"filter(array({', '.join(found)}), h -> h is not null)"
+            rows = _run(f"select r.file_id, {line} as line, explode_outer({hit}) as h from {table} r join gates g on g.file_id = r.file_id", facts, gates=gates).filter("h is not null")
+            out = out.unionByName(rows.selectExpr("h.rule_id", "file_id", "line", "h.severity", "h.dimension"))
+    own = [r for r in rules if not _simple(r)]
+    return out.unionByName(_run(union_sql(own), facts)) if own else out
