@@ -23,7 +23,7 @@ from .common import SPACE, WORD, pick, text_or_empty
 BUCKETS, TRUSTED = 1 << 14, 20_000
 SYMBOLS = "#*$%&|<>"
 #: Added to each bin's counts, as a share of the mean count of a bin; a document's mean log ratio at least.
-SMOOTH, LIMIT = 0.5, -0.12
+SMOOTH, LIMIT = 0.5, -0.15
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
