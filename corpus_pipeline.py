@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, mixing, quality_knn, simhash
+from tessera.llm import bpe, exact_dedup, mixing, near_copies, quality_knn
 from tessera.llm.common import stage, table
 from tessera.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """Of documents with a 5-word Jaccard similarity of 0.8 or more, and those so linked to them, the smallest doc_id stays."""
+    return near_copies.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
