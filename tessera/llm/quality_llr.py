@@ -1,7 +1,7 @@
 """Quality rules: plain text statistics, and a hashed n-gram likelihood ratio of trusted text against the raw corpus.
 
 Single words and pairs of neighbouring words are hashed to BUCKETS bins. The raw corpus's multinomial is counted over
-all documents, the trusted one over those of at most TRUSTED trusted ids; a document's score is the mean, over its n-grams, of the
+all documents, the trusted one over those of all trusted ids; a document's score is the mean, over its n-grams, of the
 smoothed log ratio of their shares, so it doesn't depend on its length. A document is kept if it passes the plain rules
 and its score is at least LIMIT.
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, pick, text_or_empty
 
-#: Bins of hashed n-grams, and trusted ids at most.
-BUCKETS, TRUSTED = 1 << 14, 20_000
+#: Bins of hashed n-grams.
+BUCKETS = 1 << 14
 SYMBOLS = "#*$%&|<>"
 #: Added to each bin's counts, as a share of the mean count of a bin; a document's mean log ratio at least.
 SMOOTH, LIMIT = 0.5, -0.15
@@ -70,13 +70,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.select("id", "words", long(F.size("words")).alias("n_words"), long(F.col("word_chars")).alias("word_chars"), long(F.col("n_symbols")).alias("n_symbols"), long(F.col("n_dup_lines")).alias("n_dup_lines"), long(F.coalesce(covered, F.lit(0))).alias("n_repeat_words"))
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, smooth: float = SMOOTH) -> list[float]:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> list[float]:
     """Per bin, the log of the trusted share over the raw share; 0 everywhere without trusted documents.
 
-    ``docs`` is (id, text), ``trusted_ids`` is (id); of more ids than ``trusted``, those with the smallest hashes count.
+    ``docs`` is (id, text), ``trusted_ids`` is (id), of any number.
     """
-    chosen = trusted_ids.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted).withColumn("good", F.lit(1))
-    d = docs.select("id", words(text_or_empty("text")).alias("words")).join(F.broadcast(chosen), "id", "left")
+    chosen = trusted_ids.select("id").filter("id is not null").distinct().withColumn("good", F.lit(1))
+    d = docs.select("id", text_or_empty("text").alias("text")).join(chosen, "id", "left").select("good", words(F.col("text")).alias("words"))
     each = d.select("good", bins("words", buckets).alias("bins")).select("good", F.explode_outer("bins").alias("bin")).filter("bin is not null")
     counts = each.groupBy("bin").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # a row per bin at most
     raw, good = [0] * buckets, [0] * buckets
