@@ -1,16 +1,19 @@
 """Byte-level BPE: encoding by batched numpy merge rounds, and decoding.
 
-A text is cut into words (letters, digits, other marks, each with a leading space, and white space) by comparing the
-classes of neighbouring characters in one flat array. Words not met before are encoded together: the symbols of all of
-them lie in one flat array, every round looks up the ranks of all neighbouring pairs by binary search over the sorted
-pair keys, takes the lowest rank of each word and merges its places, until no word has a pair left. Each worker
-remembers the words it has met, up to a bound; a text's ids are its words' ids in order.
+Texts are cut into words (letters, digits, other marks, each with a leading space, and white space) by a splitter of
+our own, which compares the classes of neighbouring characters in the flat bytes of many texts; the tests hold it
+against the library's. Words not met before are encoded together: the symbols of all of them lie in one flat array,
+every round looks up the ranks of all neighbouring pairs by binary search over the sorted pair keys, takes the lowest
+rank of each word and merges its places, until no word has a pair left. Each worker remembers the words it has met, up
+to a bound; a text's ids are its words' ids in order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, pick
 
-#: Words that a worker remembers at most, and characters that are cut at once.
-REMEMBERED, AT_ONCE = 200_000, 1 << 20
+#: Words that a worker remembers, and bytes that are cut at once.
+REMEMBERED, AT_ONCE = 500_000, 4 << 20
 SPACE, LETTER, DIGIT, OTHER, EDGE, UNKNOWN = range(6)
-_GAP = 0x110000  # no character: stands between texts
+_POINTS = 0x110000
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -39,9 +42,7 @@ def byte_chars() -> list[str]:
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    table = np.full(_GAP + 1, UNKNOWN, np.uint8)
-    table[_GAP] = EDGE
-    return table
+    return np.full(_POINTS, UNKNOWN, np.uint8)
 
 
 def _class(c: str) -> int:
@@ -67,35 +68,53 @@ def _classify(points: np.ndarray) -> np.ndarray:
     return cls
 
 
-def cut(texts: list[str]) -> Iterator[list[str]]:
-    """The words of each text."""
-    gap = np.array([_GAP], "<u4").tobytes()
-    points = np.frombuffer(gap + gap.join(t.encode("utf-32-le") for t in texts) + gap, "<u4")
-    cls = _classify(points)
-    before, here, after = cls[:-2], cls[1:-1], cls[2:]
-    prev = points[:-2]
-    space = here == SPACE
-    # a word begins where the class changes, but a plain space before it belongs to it; of white space, the last
-    # character stands for itself if a word follows
-    begins = np.where(space, (before != SPACE) | ((after != SPACE) & (after != EDGE)), (before != here) & ~((before == SPACE) & (prev == 0x20)))
-    begins = np.r_[True, begins, True]
-    marks = np.flatnonzero(points == ord("'"))
-    marks = marks[begins[marks] & (cls[marks - 1] != OTHER) & (points[marks - 1] != 0x20)]
+#: Bytes that UTF-8 never holds: the end of a text, the begin of an added token's mark, and that mark's digits.
+END, MARK, MARK_DIGITS = 0xFF, 0xFE, range(0xF5, 0xFE)
+
+
+@lru_cache(1)
+def _byte_classes() -> np.ndarray:
+    """ASCII characters' classes; bytes of longer characters get theirs when they are read."""
+    table = np.full(256, UNKNOWN, np.uint8)
+    table[:128] = _classify(np.arange(128))
+    table[MARK_DIGITS[0] :] = EDGE
+    return table
+
+
+def split(buf: np.ndarray) -> np.ndarray:
+    """Where the words of UTF-8 bytes begin. The bytes end with END; marks of added tokens are words of their own."""
+    cls = _byte_classes()[buf]
+    lead = np.flatnonzero((buf >= 0xC2) & (buf < MARK_DIGITS[0]))
+    if len(lead):
+        head = buf[lead].astype(np.uint32)
+        two, four = head < 0xE0, head >= 0xF0
+        c1, c2, c3 = (buf[np.minimum(lead + k, len(buf) - 1)].astype(np.uint32) & 0x3F for k in (1, 2, 3))
+        point = np.where(two, (head & 0x1F) << 6 | c1, np.where(four, (head & 7) << 18 | c1 << 12 | c2 << 6 | c3, (head & 0xF) << 12 | c1 << 6 | c2))
+        kind = _classify(point)
+        for k, has in enumerate((slice(None), slice(None), ~two, four)):
+            cls[lead[has] + k] = kind[has]
+    before = np.empty_like(cls)
+    before[0], before[1:] = EDGE, cls[:-1]
+    space = cls == SPACE
+    after_plain = np.r_[False, buf[:-1] == 0x20]
+    # a word begins where the class changes, but a plain space before it belongs to it
+    begins = (before != cls) & ~(after_plain & ~space)
+    # of white space, the last character stands for itself if a word follows
+    last = np.flatnonzero(space[:-1] & ~space[1:] & (cls[1:] != EDGE))
+    while (inside := buf[last] & 0xC0 == 0x80).any():
+        last = last - inside
+    begins[last] = True
+    begins[buf >= MARK] = True
+    marks = np.flatnonzero(buf == ord("'"))
+    marks = marks[begins[marks] & (before[marks] != OTHER) & ~after_plain[marks]]
     for c in CONTRACTIONS if len(marks) else ():
-        at = marks[points[marks + 1] == ord(c[1])]
+        at = marks[buf[marks + 1] == ord(c[1])]
         if len(c) == 3:
-            at = at[points[at + 2] == ord(c[2])]
+            at = at[buf[at + 2] == ord(c[2])]
         begins[at + 1] = False
         end = at + len(c)
         begins[end[cls[end] == LETTER]] = True
-    starts = np.flatnonzero(begins)
-    place = 1
-    for t in texts:
-        lo, hi = np.searchsorted(starts, (place, place + len(t)))
-        s = (starts[lo:hi] - place).tolist()
-        s.append(len(t))
-        yield [t[a:b] for a, b in zip(s, s[1:])]
-        place += len(t) + 1
+    return np.flatnonzero(begins)
 
 
 class BPE:
@@ -107,6 +126,10 @@ class BPE:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        named = sorted((t.encode() for t in self.added), key=len, reverse=True)
+        width = max(1, math.ceil(math.log(max(2, len(named)), len(MARK_DIGITS))))
+        self.marks = {t: bytes([MARK, *(MARK_DIGITS[k // len(MARK_DIGITS) ** j % len(MARK_DIGITS)] for j in range(width))]) for k, t in enumerate(named)}
+        self.pattern = re.compile(b"|".join(map(re.escape, named))) if named else None
         chars = byte_chars()
         back = {c: bytes([b]) for b, c in enumerate(chars)}
         self.bytes = {i: b"".join(back[c] if c in back else c.encode() for c in t) for t, i in vocab.items()}
@@ -155,25 +178,15 @@ class BPE:
     def decode(self, ids) -> str:
         return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
 
-    def pieces(self, text: str) -> list[tuple[str, int | None]]:
-        """The text cut at added tokens: (plain text, None) and (token, its id)."""
-        found = [t for t in self.added if t in text]
-        if not found:
-            return [(text, None)]
-        import re
-
-        parts = re.split("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")", text)
-        return [(p, self.added[p] if k % 2 else None) for k, p in enumerate(parts) if p]
+    def marked(self, texts: list[bytes]) -> bytes:
+        """All texts in a row, each ended by END, their added tokens replaced by marks."""
+        data = b"".join([x for t in texts for x in (t, b"\xff")])
+        return self.pattern.sub(lambda m: self.marks[m[0]], data) if self.pattern and self.pattern.search(data) else data
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part, token in self.pieces(text):
-            if token is None:
-                (words,) = cut([part])
-                out += [i for ids in self.encode_words([w.encode() for w in words]) for i in ids]
-            else:
-                out.append(token)
-        return out
+        words = Lexicon(self, self.encode_words)
+        ids, _ = words.tokens(words.numbers(self.marked([text.encode()])))
+        return ids.tolist()
 
 
 @lru_cache(2)
@@ -181,61 +194,87 @@ def load(path: str) -> BPE:
     return BPE(path)
 
 
-class Memory(dict):
-    """A cell for each word met last, holding what ``make`` gives for its ids; two generations of ``limit`` words.
+class Lexicon:
+    """Numbers for the words met, and their ids in one flat array.
 
-    A word that isn't there gets an empty cell, which ``of`` fills with those of all other new words.
+    An Arrow dictionary finds the distinct words of many texts at once; only words not met before are encoded. Number 0
+    is the end of a text, whose ids are ``end``. Above ``limit`` words, those of the texts at hand alone are remembered.
     """
 
-    def __init__(self, encode, make, limit: int = REMEMBERED):
-        self.encode, self.make, self.limit, self.old, self.fresh = encode, make, limit, {}, []
-
-    def __missing__(self, word: str) -> list:
-        cell = self.old.get(word)
-        if cell is None:
-            cell = []
-            self.fresh.append(word)
-        self[word] = cell
-        return cell
-
-    def of(self, lists: list[list[str]]) -> list[list[list]]:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        got = [list(map(self.__getitem__, words)) for words in lists]
-        for word, ids in zip(self.fresh, self.encode(self.fresh)):
-            self[word] += self.make(ids)
-        self.fresh = []
-        return got
-
-
-def of_texts(bpe: BPE, memory: Memory, texts: list[str]) -> Iterator[list]:
-    """For each text, the cells of its words and added tokens, in order."""
-    at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
-            size += len(texts[end])
-            end += 1
-        parts = [bpe.pieces(t) for t in texts[at:end]]
-        known = iter(memory.of(list(cut([p for ps in parts for p, token in ps if token is None]))))
-        for ps in parts:
-            if len(ps) == 1 and ps[0][1] is None:
-                yield next(known)
-            else:
-                yield [x for _, token in ps for x in (next(known) if token is None else [list(memory.make([token]))])]
-        at = end
-
-
-_memories: dict = {}
-
-
-def _remembering(path: str, kind: str, make) -> tuple[BPE, Memory]:
+    def __init__(self, bpe: BPE, encode, end: tuple = (), limit: int = REMEMBERED, kept=None):
+        self.bpe, self.encode, self.limit, self.kept = bpe, encode, limit, kept
+        self.always = [(bytes([END]), list(end)), *((mark, [bpe.added[t.decode()]]) for t, mark in bpe.marks.items())]
+        self.forget()
+
+    def forget(self) -> None:
+        self.at, self.flat, self.begin, self.size, self.cells = {}, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), []
+        self.learn([w for w, _ in self.always], [ids for _, ids in self.always])
+
+    def learn(self, words: list[bytes], ids: list[list[int]]) -> None:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
+        self.size = np.concatenate([self.size, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+        if self.kept:
+            self.cells += map(self.kept, ids)
+
+    def numbers(self, data: bytes) -> np.ndarray:
+        """The number of each word of marked texts, in order."""
+        buf = np.frombuffer(data, np.uint8)
+        if not len(buf):
+            return np.empty(0, np.int64)
+        starts = np.append(split(buf), len(buf)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if len(self.at) > self.limit:
+            marks = {w for w, _ in self.always}
+            known = [(w, self.at[w]) for w in words if w in self.at and w not in marks]
+            ids = [self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist() for _, k in known]
+            self.forget()
+            self.learn([w for w, _ in known], ids)
+        fresh = [w for w in words if w not in self.at]
+        if fresh:
+            self.learn(fresh, self.encode(fresh))
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[found.indices.to_numpy()]
+
+    def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and where each text's end."""
+        n = self.size[numbers]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + n, n)
+        return self.flat[at], ends[numbers == 0]
+
+    def of(self, numbers: np.ndarray) -> Iterator[list]:
+        """What was kept of the words of each text."""
+        at = 0
+        for end in np.flatnonzero(numbers == 0).tolist():
+            yield [self.cells[k] for k in numbers[at:end].tolist()]
+            at = end + 1
+
+
+def chunks(column: pa.Array, size: int = AT_ONCE) -> Iterator[list[bytes]]:
+    """A column's texts as bytes, null as empty, about ``size`` bytes at a time; a longer text alone."""
+    held, n = [], 0
+    for t in column.cast(pa.binary()).to_pylist():
+        held.append(t or b"")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+_lexicons: dict = {}
+
+
+def _worker_lexicon(path: str, kind: str, kept) -> Lexicon:
     """A worker's own memory outlives its tasks."""
-    bpe = load(path)
-    if (path, kind) not in _memories:
-        _memories[path, kind] = Memory(lambda ws: bpe.encode_words([w.encode() for w in ws]), make(bpe))
-    return bpe, _memories[path, kind]
+    if (path, kind) not in _lexicons:
+        bpe = load(path)
+        _lexicons[path, kind] = Lexicon(bpe, bpe.encode_words, kept=kept(bpe))
+    return _lexicons[path, kind]
 
 
 def _listed(bpe: BPE):
@@ -245,29 +284,32 @@ def _listed(bpe: BPE):
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memory = _remembering(path, "listed", _listed)
+        words = _worker_lexicon(path, "listed", _listed)
         for batch in batches:
             n, ids, back = [], [], []
-            for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()]):
-                listed = b",".join([g[0] for g in got])
-                n.append(listed.count(b",") + 1 if got else 0)
-                ids.append(hashlib.sha256(listed).hexdigest())
-                back.append(hashlib.sha256(b"".join([g[1] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for texts in chunks(batch.column(1)):
+                numbers = words.numbers(words.bpe.marked(texts))
+                n.append(np.diff(np.cumsum(words.size[numbers])[numbers == 0], prepend=0))
+                for got in words.of(numbers):
+                    ids.append(hashlib.sha256(b",".join([g[0] for g in got])).hexdigest())
+                    back.append(hashlib.sha256(b"".join([g[1] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _round(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memory = _remembering(path, "ids", lambda _: lambda ids: (ids,))
+        words = _worker_lexicon(path, "back", lambda bpe: lambda ids: b"".join([bpe.bytes[i] for i in ids]))
         for batch in batches:
-            ids, decoded = [], []
-            for got in of_texts(bpe, memory, [t or "" for t in batch.column(1).to_pylist()]):
-                ids.append(np.fromiter(chain.from_iterable([g[0] for g in got]), np.int32))
-                decoded.append(bpe.decode(ids[-1].tolist()))
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            ids, sizes, decoded = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], []
+            for texts in chunks(batch.column(1)):
+                numbers = words.numbers(words.bpe.marked(texts))
+                flat, ends = words.tokens(numbers)
+                ids.append(flat)
+                sizes.append(np.diff(ends, prepend=0))
+                decoded += [b"".join(got).decode("utf-8", "replace") for got in words.of(numbers)]
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), listed, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return run

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,13 +147,28 @@ def test_bpe_words_of_any_kind():
     assert [own.encode(t) for t in texts] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_splitter_on_all_planes():
+    """The splitter and the model per word, against the library's whole encoder."""
+    lib, own, words = library(), bpe.load(tokenizer_path()), token_files._library(tokenizer_path(), None)
+    rng = random.Random(6)
+    points = [*range(1, 0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x20000, 7), *range(0xE0100, 0xE01F0)]
+    points = [p for p in points if not 0xD800 <= p < 0xE000]
+    texts = [f"{x}{chr(p)}{y}" for p in points for x, y in rng.sample([("a", "1"), (" ", "'s"), ("1", " "), ("  ", "."), ("'", "ll"), ("\u00a0", "\u3000"), ("", "")], 2)]
+    texts += ["".join(rng.choice("ab's 1.\n\u00a0\u3000é日😀<|endoftext|>'re") for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", "<|endoftext|> x"]) for _ in range(3000)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for lexicon in (bpe.Lexicon(own, own.encode_words), words):
+        flat, ends = lexicon.tokens(lexicon.numbers(own.marked([t.encode() for t in texts])))
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == want
+
+
 def test_bpe_memory_forgets_and_learns_again():
     own = bpe.load(tokenizer_path())
-    memory = bpe.Memory(lambda ws: own.encode_words([w.encode() for w in ws]), lambda ids: (ids,), 5)
-    texts = [f"w{k % 9} x{k % 4}" for k in range(50)]
-    for t in texts:
-        (got,) = bpe.of_texts(own, memory, [t])
-        assert [i for g in got for i in g[0]] == own.encode(t)
+    words = bpe.Lexicon(own, own.encode_words, limit=5, kept=lambda ids: ids)
+    for k in range(50):
+        text = f"w{k % 9} x{k % 4}"
+        numbers = words.numbers(own.marked([text.encode()]))
+        assert words.tokens(numbers)[0].tolist() == own.encode(text) == [i for got in words.of(numbers) for g in got for i in g]
+        assert len(words.at) <= 5 + 6
 
 
 def test_token_files(frame, docs, empty):
@@ -172,9 +188,22 @@ def test_token_files(frame, docs, empty):
     for key in (0, 7, 70):
         assert files.get(key).tolist() == ids[key]
     assert files.get(10**9) is None and files.get(-5) is None
+    assert {r["key"]: r["ids"] for r in files.lookup([3, 9, 10**9]).collect()} == {k: ids[k] for k in (3, 9)}
     assert token_files.TokenFiles.write(empty, tokenizer_path()).documents().count() == 0
 
 
+def test_token_files_notice_a_broken_index(frame):
+    files = token_files.TokenFiles.write(frame, tokenizer_path(), shard_bytes=2000)
+    data = bytes(files.shards.filter("n_docs > 1").first()["shard"])
+    s = token_files.Shard(data)
+    at = len(data) - len(s.payload) - s.mark.nbytes
+    broken = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+    batch = lambda d: pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([d], pa.binary())], names=["task", "nth", "shard"])
+    assert len(list(token_files._reader([batch(data)]))) == 1
+    with pytest.raises(ValueError, match="index"):
+        list(token_files._reader([batch(broken)]))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 62, 5000, dtype=np.uint64))
     index = token_files.PerfectHash.build(keys)
