@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pick
 
 #: Words that a worker remembers, and bytes that are cut at once.
-REMEMBERED, AT_ONCE = 500_000, 4 << 20
+REMEMBERED, AT_ONCE = 700_000, 8 << 20
 SPACE, LETTER, DIGIT, OTHER, EDGE, UNKNOWN = range(6)
 _POINTS = 0x110000
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -228,15 +228,22 @@ class Lexicon:
         found = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
         words = found.dictionary.to_pylist()
         if len(self.at) > self.limit:
-            marks = {w for w, _ in self.always}
-            known = [(w, self.at[w]) for w in words if w in self.at and w not in marks]
-            ids = [self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist() for _, k in known]
-            self.forget()
-            self.learn([w for w, _ in known], ids)
-        fresh = [w for w in words if w not in self.at]
-        if fresh:
-            self.learn(fresh, self.encode(fresh))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[found.indices.to_numpy()]
+            self.keep(words)
+        number = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = len(self.at) + np.arange(len(fresh))
+            new = [words[k] for k in fresh.tolist()]
+            self.learn(new, self.encode(new))
+        return number[found.indices.to_numpy()]
+
+    def keep(self, words: list[bytes]) -> None:
+        """Forgets all but these."""
+        marks = {w for w, _ in self.always}
+        known = [(w, self.at[w]) for w in words if w in self.at and w not in marks]
+        ids = [self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist() for _, k in known]
+        self.forget()
+        self.learn([w for w, _ in known], ids)
 
     def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and where each text's end."""
