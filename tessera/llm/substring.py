@@ -3,13 +3,17 @@
 A passage of ``window`` words that occurs twice holds, wherever it begins, a whole block of ``window / 2`` words
 that lies on the fixed grid of its other occurrence. So every document's non-overlapping blocks are indexed, every
 rolling window of a block's length probes that index, and a probe that meets a block elsewhere is an anchor. Around
-anchors, windows of full length are compared, which extends each anchor to the maximal stretch that repeats exactly.
+anchors, windows of full length are compared, which extends each anchor to the maximal stretch that repeats.
 The first occurrence of each window, by document id and place, stays; words under later ones go.
 
+Words are told apart by XXH3 of 128 bits, windows by two polynomials of 64 bits over the halves of these, each with a
+multiplier of its own: no pattern of words makes two windows alike, and by chance two of n windows are with a
+probability below n * n / 2**100.
+
 Documents are packed into units of about ``unit_bytes``, written once as a bucketed table that later joins read
 without a shuffle. Only hashes are shuffled, as sorted and delta-coded arrays per unit and slice of the hash space: probes and blocks
-as short keys with room to spare for the corpus's size (a false anchor only costs a comparison), full windows as 96 bits with their
-document. A unit sends each hash once, so a passage in a third of all documents is one entry per unit, and no slice
+as short keys with room to spare for the corpus's size (a false anchor only costs a comparison), full windows as 128 bits with
+their document. A unit sends each hash once, so a passage in a third of all documents is one entry per unit, and no slice
 gathers more than its share of the hash space.
 """
 
@@ -20,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,42 +38,22 @@ from .token_files import mix
 WINDOW, UNIT_BYTES = 20, 8 << 20
 #: Windows that a slice of the hash space holds, about; bits of a short key beyond those that count the corpus's words.
 SLICE_WINDOWS, SPARE_BITS = 4 << 20, 13
-#: Characters hashed at once; odd multipliers for characters and for words.
-AT_ONCE, CHAR, WORD_MUL = 1 << 20, 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
-PACKED = "unit long, ids array<long>, counts array<int>, body binary"
-_U64 = (1 << 64) - 1
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
+#: Odd multipliers of the words' two hashes; bytes of text of a bucket of units, about, and buckets at most (Spark's own limit).
+WORD_MUL, OTHER_MUL = 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C55
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
+PACKED = "unit long, ids array<long>, ties array<int>, counts array<int>, body binary"
 
 
 def word_hashes(body: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of words joined by single spaces."""
-    buf = np.frombuffer(body, np.uint8)
-    if not len(buf):
-        return np.empty(0, np.uint64)
-    ends = np.r_[np.flatnonzero(buf == 32), len(buf)]
-    starts = np.r_[0, ends[:-1] + 1]
-    longest = int((ends - starts).max())
-    n = min(len(buf), max(AT_ONCE, longest)) + 1
-    power, back = _powers(n, CHAR), _powers(n, pow(CHAR, -1, 1 << 64))
-    out = np.empty(len(ends), np.uint64)
-    at = 0
-    while at < len(ends):
-        first = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, first + n - 1, "right")))
-        part = buf[first : int(ends[to - 1])]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64), 3)
-        at = to
-    return out
+    """Two 64-bit hashes, as the columns of an array, of each word of ``body``; every word is followed by one space."""
+    from xxhash import xxh3_128_digest
+
+    ends = np.flatnonzero(np.frombuffer(body, np.uint8) == 32) + 1
+    if not len(ends):
+        return np.empty((2, 0), np.uint64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(body)]).dictionary_encode()
+    each = np.frombuffer(b"".join(map(xxh3_128_digest, words.dictionary.to_pylist())), "<u8").reshape(-1, 2).T
+    return each[:, words.indices.to_numpy()]
 
 
 class Unit:
@@ -76,7 +61,7 @@ class Unit:
 
     def __init__(self, counts: list[int], body: bytes, window: int):
         self.window, self.block = window, window // 2
-        self.words = word_hashes(body)
+        self.words, self.others = word_hashes(body)
         counts = np.asarray(counts, np.int64)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         first = np.cumsum(counts) - counts
@@ -92,7 +77,7 @@ class Unit:
         return mix(self.raw, 5) >> np.uint64(64 - bits), self.left[: len(self.raw)] >= self.block
 
     def candidates(self, hits: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Full windows around anchors: places, and their distinct hashes (64 and 32 bits) in order with each place's number.
+        """Full windows around anchors: places, and their distinct hashes (twice 64 bits) in order with each place's number.
 
         hits: sorted short keys that other units' blocks answered; the unit's own blocks answer here.
         """
@@ -119,13 +104,13 @@ class Unit:
             full = full * np.uint64(WORD_MUL) + self.words[places + self.window - 1]
         other = np.zeros(len(places), np.uint64)
         for j in range(self.window):
-            other = other * np.uint64(CHAR) + mix(self.words[places + j], 11)
-        high, low = mix(full, 7), mix(other, 9) >> np.uint64(32)
+            other = other * np.uint64(OTHER_MUL) + self.others[places + j]
+        high, low = mix(full, 7), mix(other, 9)
         order = np.lexsort((places, low, high))
         fresh = np.r_[True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)] if len(order) else np.zeros(0, bool)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        return places, number, high[order][fresh], low[order][fresh].astype(np.uint32)
+        return places, number, high[order][fresh], low[order][fresh]
 
 
 def put(values: np.ndarray) -> bytes:
@@ -143,19 +128,21 @@ def get(data: bytes) -> np.ndarray:
 
 def _pack(unit_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh32_intdigest
+
         task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def unit() -> pa.RecordBatch:
-            held.sort(key=lambda x: (x[0] is None, x[0] or 0))
-            body = zlib.compress(b" ".join(h[2] for h in held if h[1]), 1)
-            columns = [pa.array([task << 32 | nth]), pa.array([[h[0] for h in held]], pa.list_(pa.int64())), pa.array([[h[1] for h in held]], pa.list_(pa.int32())), pa.array([body], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["unit", "ids", "counts", "body"])
+            held.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            body = zlib.compress(b"".join(h[3] for h in held), 1)
+            columns = [pa.array([task << 32 | nth]), *(pa.array([[h[k] for h in held]], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array([body], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["unit", "ids", "ties", "counts", "body"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = (text.as_py() or "").encode().split()  # of bytes: ASCII white space only
-                body = b" ".join(words)
-                held.append((key, len(words), body))
+                body = b" ".join(words) + b" " if words else b""
+                held.append((key, xxh32_intdigest(body) - (1 << 31), len(words), body))
                 size += len(body) + 16
                 if size >= unit_bytes:
                     yield unit()
@@ -214,21 +201,33 @@ def _hits(listed: list[bytes] | None) -> np.ndarray:
     return np.unique(np.concatenate([get(x) for x in listed])) if listed else np.empty(0, np.uint64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Byte plane by byte plane, so that equal bytes compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _from_planes(data: list[bytes], kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel() for x in data])
+
+
 def _send_windows(window: int, bits: int, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for unit, ids, counts, body, hits in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for unit, ids, ties, counts, body, hits in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 u = Unit(counts, zlib.decompress(body), window)
                 places, number, high, low = u.candidates(_hits(hits), bits)
                 first = np.full(len(high), len(u.words))
                 np.minimum.at(first, number, places)
                 order = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-                doc = order[u.doc[first]] if len(first) else np.empty(0, np.int64)
+                of = u.doc[first] if len(first) else np.empty(0, np.int64)
+                doc, tie = order[of], np.array(ties, np.int32)[of]
                 at = _slices(high, 64, slices)
                 at[-1] = len(high)
                 some = np.flatnonzero(np.diff(at)).tolist()
                 part = lambda x, s: x[at[s] : at[s + 1]]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([unit] * len(some), pa.int64()), pa.array([put(part(high, s)) for s in some], pa.binary()), pa.array([part(low, s).tobytes() for s in some], pa.binary()), pa.array([np.ascontiguousarray(part(doc, s).view(np.uint8).reshape(-1, 8).T).tobytes() for s in some], pa.binary())], names=["slice", "unit", "high", "low", "doc"])
+                sent = [[put(part(high, s)) for s in some], [part(low, s).tobytes() for s in some], [_planes(part(doc, s)) for s in some], [part(tie, s).tobytes() for s in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([unit] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in sent)], names=["slice", "unit", "high", "low", "doc", "tie"])
 
     return run
 
@@ -239,9 +238,9 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     highs = [get(x) for x in table.column("high").to_pylist()]
     sizes = [len(h) for h in highs]
     high, owner = np.concatenate(highs), np.repeat(np.arange(len(units)), sizes)
-    low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4")
-    doc = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in table.column("doc").to_pylist()])
-    order = np.lexsort((units[owner], doc, low, high))
+    low, tie = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("low", "<u8"), ("tie", "<i4")))
+    doc = _from_planes(table.column("doc").to_pylist(), "<i8")
+    order = np.lexsort((units[owner], tie, doc, low, high))
     h, w = high[order], low[order]
     later = np.empty(len(order), bool)
     later[order] = np.r_[False, (h[1:] == h[:-1]) & (w[1:] == w[:-1])] if len(order) else later
@@ -276,7 +275,7 @@ def _remove(window: int, bits: int, slices: int, texts: bool):
                     gone = goes[at_word : at_word + n]
                     mine = words[at_word : at_word + n]
                     if removed := int(gone.sum()):
-                        mine = [w for w, g in zip(mine, gone.tolist()) if not g]
+                        mine = list(compress(mine, (~gone).tolist()))
                     kept = b" ".join(mine)
                     out.append((n, removed, kept.decode() if texts else sha256(kept).hexdigest()))
                     at_word += n
@@ -291,15 +290,24 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are what ASCII white space separates; kept ones are joined by one space. Of windows that repeat, the one in
     the smallest id, and there the first, stays. A null text has no words. Rows with a null id come after all others;
-    rows that repeat an id are ordered by the unit they fell into. Texts below ``window`` words lose nothing. An empty
-    table gives no rows; other columns aren't read.
+    rows that repeat an id are ordered by a hash of their words, so a rerun over other partitions removes the same
+    words. Texts below ``window`` words lose nothing. An empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    name, partitions = f"tessera_units_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arrow_map(rows, _pack(unit_bytes), PACKED).write.bucketBy(partitions, "unit").option("path", fresh_path(spark, "units")).option("compression", "none").saveAsTable(name)
-    units = spark.table(name)
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES)))
+    name = f"tessera_units_{uuid.uuid4().hex}"
+    try:
+        arrow_map(rows, _pack(unit_bytes), PACKED).write.bucketBy(buckets, "unit").option("path", fresh_path(spark, "units")).option("compression", "none").saveAsTable(name)
+        done = _dedup(spark.table(name), window, texts)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return done.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text" if texts else "kept_sha256"))
+
+
+def _dedup(units: DataFrame, window: int, texts: bool) -> DataFrame:
     words = units.agg(F.sum(F.expr("aggregate(counts, 0L, (a, n) -> a + n)"))).first()[0] or 0
     bits = min(60, max(24, int(words).bit_length() + SPARE_BITS))
     slices = 1 << max(0, (int(words) // SLICE_WINDOWS).bit_length())
@@ -308,10 +316,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = probes.groupBy("slice").applyInArrow(_answer_probes, "unit long, hits binary")
     hits = stage(hits.groupBy("unit").agg(F.collect_list("hits").alias("hits")), "anchors")  # a row of each slice at most
     anchored = units.join(hits, "unit", "left")
-    sent = arrow_map(anchored.select("unit", "ids", "counts", "body", "hits"), _send_windows(window, bits, slices), "slice int, unit long, high binary, low binary, doc binary")
+    sent = arrow_map(anchored.select("unit", "ids", "ties", "counts", "body", "hits"), _send_windows(window, bits, slices), "slice int, unit long, high binary, low binary, doc binary, tie binary")
     answers = sent.groupBy("slice").applyInArrow(_answer_windows, "unit long, slice int, later binary")
     answers = stage(answers.groupBy("unit").agg(F.collect_list(F.struct("slice", "later")).alias("answers")), "answers")
     last = anchored.join(answers, "unit", "left").select("ids", "counts", "body", "hits", "answers")
-    done = stage(arrow_map(last, _remove(window, bits, slices, texts), "id long, n_words long, n_removed long, kept string"), "passages")
-    spark.sql(f"DROP TABLE {name}")
-    return done.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text" if texts else "kept_sha256"))
+    return stage(arrow_map(last, _remove(window, bits, slices, texts), "id long, n_words long, n_removed long, kept string"), "passages")

@@ -232,10 +232,33 @@ def test_passages(frame, docs, empty, unit_bytes):
 
 
 def test_word_hashes_do_not_depend_on_place():
-    a, b = substring.word_hashes(b"one two three"), substring.word_hashes(b"x three two one")
+    a, b = substring.word_hashes(b"one two three ")[0], substring.word_hashes(b"x three two one ")[0]
     assert a[0] == b[3] and a[1] == b[2] and a[2] == b[1] and len(set(a.tolist())) == 3
 
 
+@pytest.mark.parametrize("unit_bytes", [1, 1 << 20])
+def test_passages_that_differ_in_a_word_built_to_collide(spark, unit_bytes):
+    """A Thue-Morse word and its complement agree under every polynomial hash modulo 2**64."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"r{k}" for k in range(10)]
+    rows = [(1, " ".join([*rest, one, *rest])), (2, " ".join([*rest, two, *rest])), (3, " ".join([*rest, one, *rest]))]
+    # and windows of which two words make the pattern
+    rows += [(10 + k, " ".join(["st"[(j.bit_count() + k) % 2] for j in range(16)] + rest)) for k in range(2)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=unit_bytes).collect()}
+    assert got == {1: 0, 2: 0, 3: 21, 10: 0, 11: 0}
+
+
+def test_passages_of_rows_that_repeat_an_id(frame, spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(5, f"{x} {passage}") for x in "abcdefgh"] + [(5, passage)] * 2 + [(None, passage), (None, f"z {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    as_rows = lambda d, n: Counter(map(tuple, substring.dedup_passages(d, unit_bytes=n).collect()))
+    got = as_rows(df.repartition(1), 1 << 20)
+    assert got == as_rows(df.repartition(5), 1) == as_rows(df.orderBy("text").repartition(3), 100)
+    assert sum(n for (_, n, gone, _), c in got.items() for _ in range(c) if not gone) in (30, 31)
+
+
 def test_quality_votes(spark, frame, docs, empty):
     rng = random.Random(1)
     good = [(1000 + k, " ".join(rng.choice(["the", "and", "river", "stone", "light"]) for _ in range(40)), 1) for k in range(120)]
