@@ -1,93 +1,246 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least SHARE, all of them.
-
-A document's shingles are put in one global order, the rarest first. Two sets as similar as SHARE share a shingle among
-the first n - ceil(SHARE * n) + 1 of each (prefix filtering), so no pair is missed, unlike with fingerprints, whose
-distance only estimates the similarity. Most shingles stand in one document: one with enough of these has no near copy
-and gives no row. Every candidate is verified on the two whole sets. Candidates are first linked to one document of
-their shingle, and only what these links leave apart is paired, so a large group of copies costs rows of its size.
+"""Near copies: SimHash and BK-trees find candidates, whole sets of five-word shingles decide.
+
+Documents with a Jaccard similarity of SHARE or more have fingerprints that differ in a sixth of their bits on average,
+too many to agree in long blocks of bits. So a document's shards are named by shingles instead: put in one global order,
+two sets as similar as SHARE share a shingle among the first n - ceil(SHARE * n) + 1 of each. The order is by hash, but
+shingles in more than COMMON documents come last; a document that meets such ones gives more of its shingles, until no
+document lacks uncommon ones that it has. In a shard, a BK-tree over the fingerprints joins what is within RADIUS bits,
+where a pair as similar as SHARE is with a probability above 0.9999; shards above ``shard_rows`` are joined whole.
+
+What is joined over all shards is a group of candidates. Each member's set of shingles goes to a task of its group
+once, or to one of several of PART members, which share some members as pivots; there all pairs are compared exactly.
+Members that aren't linked to the most of their group then are compared with all of it, part by part, so no pair of a
+group is left out, while a large group of copies costs work in proportion to its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, pick, stage, text_or_empty
 from .components import components
-from .simhash import SEED
+from .simhash import RUN_ROWS, SHARD_ROWS, runs, search_shards, stars, unite
+from .substring import WORD_MUL, word_hashes
+from .token_files import mix
+
+#: Words of a shingle; the least similarity in tenths, so that all comparisons are of whole numbers; bits of a search.
+WORDS, TENTHS, RADIUS = 5, 8, 24
+#: Documents of an uncommon shingle at most; members compared in one task, pivots among them; cells of a matrix.
+COMMON, PART, PIVOTS, CELLS = 64, 1024, 16, 1 << 23
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The ascending distinct 64-bit hashes of each text's shingles with A-Z lower-cased; a short or empty text is one shingle."""
+    lists = [(t or "").encode().lower().split() for t in texts]  # of bytes: ASCII letters and white space only
+    h = word_hashes(b"".join([b" ".join(x) + b" " for x in lists if x]))[0]
+    n = max(0, len(h) - words + 1)
+    raw = np.zeros(n, np.uint64)
+    for j in range(words):
+        raw = raw * np.uint64(WORD_MUL) + h[j : j + n]
+    raw = mix(raw, 13).view(np.int64)
+    out, at = [], 0
+    for x in lists:
+        if len(x) >= words:
+            out.append(np.unique(raw[at : at + len(x) - words + 1]))
+        else:
+            short = np.uint64(len(x))
+            for k in range(len(x)):
+                short = np.multiply(short, np.uint64(WORD_MUL)) + h[at + k]
+            out.append(mix(np.array([short], np.uint64), 17).view(np.int64))
+        at += len(x)
+    return out
+
+
+def simhash(grams: np.ndarray) -> int:
+    """Majority vote per bit over a set of hashes."""
+    votes, b = np.zeros(64, np.int64), grams.view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(b), 1 << 16):
+        votes += np.unpackbits(b[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(b), bitorder="little").view(np.int64)[0])
+
+
+def needed(n: int) -> int:
+    """How many of a set's n shingles, first in the order, meet every set as similar as SHARE."""
+    return n + n * -TENTHS // 10 + 1
+
+
+def _signatures(whole: bool):
+    """(key, n, fp, grams) of (key, text): the first of the shingles in the order of their hashes, or ``whole`` sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = shingle_sets(part.column(1).to_pylist())
+                sizes = pa.array([len(x) for x in sets], pa.int32())
+                fps = pa.array([0 if whole else simhash(x) for x in sets], pa.int64())
+                grams = pa.array(sets if whole else [x[: needed(len(x))] for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, grams], names=["key", "n", "fp", "grams"])
+
+    return run
+
+
+SIGNATURE = "key long, n int, fp long, grams array<long>"
+
+
+def _same(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (10 + TENTHS) * overlap >= TENTHS * (a[:, None] + b[None, :])
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b`` (of ``a`` if not given), by products of 0/1 matrices."""
+    sets = a if b is None else a + b
+    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    fresh = np.r_[True, grams[1:] != grams[:-1]]
+    column = np.cumsum(fresh) - 1
+    alone = np.bincount(column) == 1
+    use = ~alone[column]
+    owner, column = owner[use], column[use]
+    column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
+    out = np.zeros((len(a), len(a if b is None else b)), np.int64)
+    step = max(1, CELLS // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, (low, low + step))
+        m = np.zeros((len(sets), min(step, int(column[-1]) + 1 - low)), np.float32)
+        m[owner[i:j], column[i:j] - low] = 1
+        left, right = m[: len(a)], m if b is None else m[len(a) :]
+        out += (left @ right.T).astype(np.int64)
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (unit, role, key, grams) in order of unit: stars of the sets that are alike. Role 0: with all, 1: with those of role 2."""
+    for rows in runs(batches, RUN_ROWS >> 7):
+        unit, role, key = (rows.column(k).to_numpy() for k in range(3))
+        grams, label = rows.column(3).combine_chunks(), np.arange(len(unit))
+        flat, ends = grams.flatten().to_numpy(), np.cumsum(grams.value_lengths().to_numpy())
+        sets, size = np.split(flat, ends[:-1]), np.diff(ends, prepend=0).astype(np.int64)
+        heads = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(unit)]):
+            at = np.arange(low, high)
+            a, b = (at, at) if not role[low:high].any() else (at[role[low:high] == 1], at[role[low:high] == 2])
+            if len(a) and len(b):
+                found = overlaps([sets[x] for x in a], None if a is b else [sets[x] for x in b])
+                i, j = np.nonzero(_same(found, size[a], size[b]))
+                label = unite(label, a[i], b[j])
+        yield stars(key, label)
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    return arrow_map(rows.select("unit", "role", "key", "grams").repartition("unit").sortWithinPartitions("unit"), _compare, "a long, b long")
+
+
+def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(key, grp): the group of each key of ``sig`` (key, n, fp, grams) that may have a near copy.
+
+    ``whole_sets`` gives (key, grams), whole, of the keys of a table.
+    """
+    given = sig.select("key", F.explode("grams").alias("gram"))
+    extended = None
+    while True:
+        counts = stage(given.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1"), "shared")
+        often = counts.filter(F.col("met") > common).select("gram")
+        short = given.join(often, "gram", "left_semi").select("key").distinct()
+        if extended is not None:
+            short = short.join(extended.select("key"), "key", "left_anti")
+        short = stage(short, "short")
+        if short.isEmpty():
+            break
+        extended = short if extended is None else stage(extended.select("key").unionByName(short), "extended")
+        more = whole_sets(short).select("key", F.explode("grams").alias("gram"))
+        given = stage(given.join(short, "key", "left_anti").unionByName(more), "given")
+    if extended is not None:  # of their shingles, the first ones: uncommon ones in order, then common ones
+        own = given.join(extended, "key", "left_semi").join(counts, "gram", "left")
+        ordered = own.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.coalesce("met", F.lit(1)) > common).alias("often"), "gram"))).alias("all"))
+        first = F.slice("all", 1, F.expr(f"size(all) + cast(floor(size(all) * -{TENTHS} / 10) as int) + 1"))
+        given = given.join(extended, "key", "left_anti").unionByName(ordered.select("key", F.explode(first).alias("x")).select("key", "x.gram"))
+    meets = stage(given.join(counts.select("gram"), "gram", "left_semi"), "meets")
+    nodes = sig.join(meets.select("key").distinct(), "key", "left_semi").select("key", "fp")
+    nodes = stage(nodes.join(nodes.groupBy("fp").agg(F.min("key").alias("node")), "fp"), "nodes")
+    keyed = stage(meets.join(nodes, "key").select(F.col("gram").alias("shard"), "fp", F.col("node").alias("id")).distinct(), "shards")
+    big = stage(keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter(F.col("n") > shard_rows), "big")
+    joined = search_shards(keyed.join(big, "shard", "left_anti"), RADIUS, shard_rows).unionByName(keyed.join(big, "shard").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    roots = components(stage(joined, "candidates")).withColumnRenamed("node", "n2")
+    placed = nodes.join(roots, F.col("node") == F.col("n2"), "left").select("key", F.coalesce("root", "node").alias("grp"))
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
+    return placed.join(sizes, "grp")
+
+
+def verified(groups: DataFrame, whole_sets, part: int = PART) -> DataFrame:
+    """Links (a, b) between keys, all of pairs that are alike, whose components are those of all alike pairs of a group."""
+    sets = stage(whole_sets(groups.select("key")).select("key", "grams").join(groups, "key"), "sets")
+    parts = F.ceil(F.col("members") / part).cast("int")
+    own = F.pmod(F.xxhash64("key"), parts).cast("int")
+    pivot = (parts > 1) & (F.pmod(F.xxhash64("key", F.lit(5)), F.col("members")) < PIVOTS)
+    to = F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    first = sets.select("grp", "key", "grams", F.explode(to).alias("p")).withColumn("unit", F.xxhash64("grp", "p")).withColumn("role", F.lit(0))
+    found = stage(_units(first), "links")
+    large = sets.filter(parts > 1)
+    if large.isEmpty():
+        return found
+    placed = stage(large.select("grp", "key", "members").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    most = placed.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    apart = placed.join(most, "grp").filter("root <> most").select("grp", "key")
+    open_ = stage(apart.groupBy("grp").agg(F.count("*").alias("asking")), "open")
+    if open_.isEmpty():
+        return found
+    asks = F.ceil(F.col("asking") / part).cast("int")
+    asking = sets.join(apart.select("key"), "key", "left_semi").join(open_, "grp")
+    asking = asking.select("grp", "key", "grams", F.pmod(F.xxhash64("key", F.lit(9)), asks).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), F.lit(1).alias("role"))
+    asked = sets.join(open_, "grp").select("grp", "key", "grams", F.explode(F.sequence(F.lit(0), asks - 1)).alias("q"), own.alias("p"), F.lit(2).alias("role"))
+    rest = asking.unionByName(asked).withColumn("unit", F.xxhash64("grp", "p", "q"))
+    return found.unionByName(stage(_units(rest), "rest"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, shard_rows: int = SHARD_ROWS, part: int = PART) -> DataFrame:
+    """One row per input row: id, component_id, the smallest id reachable over pairs as similar as SHARE.
+
+    Null texts are empty; all texts without words are alike, as are equal texts. A null id takes part but is never a
+    component's id; where no other id is reachable, component_id is null. Rows that repeat share their component. An
+    empty table gives no rows; other columns aren't read.
+    """
+    rows = pick(docs, id=id_col, text=text_col).select("id", text_or_empty("text").alias("text"))
+    # a row is named by a number of its own; the table that keeps it is written once
+    own = rows.select(F.monotonically_increasing_id().alias("key"), "id", F.xxhash64("text").alias("h"), "text")
+    sig = arrow_map(own.select("key", "text", "id", "h"), _with_names(_signatures(False)), f"{SIGNATURE}, id {rows.schema['id'].dataType.simpleString()}, h long")
+    sig = stage(sig, "signatures")
 
-#: Words of a shingle; the least similarity in tenths, so that all comparisons are of whole numbers.
-WORDS, TENTHS = 5, 8
+    def whole_sets(keys: DataFrame) -> DataFrame:
+        wanted = sig.join(keys.select("key"), "key", "left_semi").select("key", F.col("id").alias("i"), "h")
+        texts = rows.withColumn("h2", F.xxhash64("text"))
+        found = texts.join(wanted, (F.col("h2") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("key", "text")
+        return arrow_map(found.dropDuplicates(["key"]), _signatures(True), SIGNATURE)  # a row may repeat
 
+    groups = stage(candidates(sig.select("key", "n", "fp", "grams"), whole_sets, common, shard_rows), "groups")
+    roots = components(verified(groups, whole_sets, part)).withColumnRenamed("node", "key")
+    placed = sig.select("key", "id").join(roots, "key", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "key"))
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return placed.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
-def shingle_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, grams) of (key, text): the distinct 64-bit hashes of a text's shingles with A-Z lower-cased; a short or empty text is one shingle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from xxhash import xxh64_intdigest
+def _with_names(run):
+    """``run`` over the first two columns, the others carried along."""
 
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column(1):
-                toks = (t.as_py() or "").encode().lower().split()  # of bytes: ASCII letters and white space only
-                grams = {xxh64_intdigest(b" ".join(toks[k : k + words]), SEED) for k in range(max(1, len(toks) - words + 1))}
-                sets.append(np.fromiter(grams, np.uint64, len(grams)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "grams"])
-
-    return arrow_map(rows.select("key", "text"), run, "key long, grams array<long>")
+            at = 0
+            for out in run(iter([pa.RecordBatch.from_arrays(batch.columns[:2], names=["key", "text"])])):
+                more = batch.slice(at, out.num_rows)
+                yield pa.RecordBatch.from_arrays([*out.columns, *more.columns[2:]], names=[*out.schema.names, *batch.schema.names[2:]])
+                at += out.num_rows
 
+    return carry
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(gram, key, n): of each set the shingles by which it can meet a similar one; n is the set's size.
 
-    All shingles are shuffled once. A shingle has a row for each document at most, so even one in every document is a
-    small share of the rows.
-    """
-    each = sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
-    per = shared.groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("common"))
-    # those of one document come first in the order and meet nothing
-    room = F.expr(f"n - ceil(n * {TENTHS} / 10) + 1 - (n - size(common))").cast("int")
-    return per.withColumn("room", room).filter("room > 0").select("key", "n", F.explode(F.slice("common", 1, F.col("room"))).alias("c")).select("c.gram", "key", "n")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets are similar enough."""
-    of = lambda k: sets.select(F.col("key").alias(k), F.col("grams").alias(f"of_{k}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    alike = (10 + TENTHS) * both >= TENTHS * (F.size("of_a") + F.size("of_b"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b").distinct()
-
-
-def links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of (key, text), all verified, whose components are those of all similar pairs."""
-    meets = stage(prefixes(shingle_sets(rows)), "prefixes")
-    first = meets.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("m"), F.count("*").alias("met")).filter("met > 1")
-    meets = stage(meets.join(first.select("gram", "m"), "gram"), "meets")
-    sets = stage(shingle_sets(rows.join(meets.select("key").distinct(), "key", "left_semi")), "sets")
-    fits = lambda m, n: (10 * F.least(m, n) >= TENTHS * F.greatest(m, n))
-    stars = meets.filter(F.col("key") != F.col("m.key")).filter(fits(F.col("n"), F.col("m.n")))
-    found = stage(verified(stars.select(F.col("m.key").alias("a"), F.col("key").alias("b")).distinct(), sets), "stars")
-    placed = stage(meets.join(components(found).withColumnRenamed("node", "key"), "key", "left").select("gram", "key", "n", F.coalesce("root", "key").alias("root")), "placed")
-    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
-    left = placed.join(apart, "gram")
-    one, two = (left.select("gram", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
-    rest = one.join(two, "gram").filter("root_a < root_b").filter(fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    return found.unionByName(stage(verified(rest, sets), "rest"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the smallest id of each component of near copies. Rows with a null id, which take part, stay.
-
-    Equal texts are copies, and so are all texts without words.
-    """
-    rows = pick(docs, id=id_col, text=text_col).select("id", text_or_empty("text").alias("text")).withColumn("key", F.xxhash64("text"))
-    roots = components(links(rows)).withColumnRenamed("node", "key")
-    placed = rows.filter("id is not null").select("id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    stays = placed.groupBy("root").agg(F.min("id").alias("__stays")).select("__stays").distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows with the smallest id of each component of near copies. Rows with a null id, which take part, stay."""
+    stays = near_copies(docs, id_col, text_col, **how).filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__stays")).distinct()
     named = docs.join(stays, F.col(f"`{id_col}`") == F.col("__stays"), "left_semi")
     return named.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -1,18 +1,19 @@
 """SimHash near-duplicates found with BK-trees.
 
 Texts become 64-bit fingerprints in Arrow batches. Equal fingerprints are one node, so copies cost nothing more. Two
-fingerprints within ``radius`` bits agree in one of radius + 1 blocks of bits, so a fingerprint joins one shard for
-each of its blocks, and the shards together hold every link. In a shard the fingerprints form a BK-tree: a child hangs
-at its integer Hamming distance to its parent, and a search at distance d follows only the edges d - radius to
-d + radius. A shard above ``shard_rows`` is cut: each part's tree is sent to the tasks of all parts' queries, so a task
-holds two parts at most. A task doesn't return its links but a star per group that it found; the stars are joined to
-components over all shards.
+fingerprints within ``radius`` bits agree in ``agree`` of radius + agree blocks of bits, so a fingerprint joins one shard
+for each choice of that many blocks, and the shards together hold every link. The more fingerprints there are, the more
+blocks a shard's key takes, so that shards stay small. In a shard the fingerprints form a BK-tree: a child hangs at its
+integer Hamming distance to its parent, and a search at distance d follows only the edges d - radius to d + radius. A
+shard above ``shard_rows`` is cut: each part's tree is sent to the tasks of all parts' queries; tasks read their shards
+one after another, some at a time. A task doesn't return its links but a star per group that it found; the stars are
+joined to components over all shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from .components import components
 BITS, SEED = 64, 42
 #: Fingerprints of one BK-tree at most.
 SHARD_ROWS = 8192
-#: Pairs of a query and a tree node looked at in one step.
-FRONTIER = 1 << 20
+#: Pairs of a query and a tree node looked at in one step; rows of whole units that a task holds at once, about.
+FRONTIER, RUN_ROWS = 1 << 20, 1 << 18
+#: Fingerprints of a shard by chance, at most, before its key takes another block.
+BY_CHANCE = 64
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
@@ -126,42 +129,59 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _stars(radius: int):
-    """Of a partition's rows (unit, role, fp, id): links (a, b) of every id to the smallest id of its group in a unit."""
+def runs(batches: Iterator[pa.RecordBatch], rows: int = RUN_ROWS) -> Iterator[pa.Table]:
+    """Of rows in order of their first column, tables of whole units, about ``rows`` rows each or one longer unit."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        unit = batch.column(0).to_numpy()
+        last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+        if last == 0 and held[0].column(0)[0].as_py() == unit[-1]:
+            continue
+        yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
+        held, n = [batch.slice(last)], batch.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def stars(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) of every node to the smallest node of its label."""
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    least = least[label]
+    out = node != least
+    return pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(least[out])], names=["a", "b"])
+
+
+def _search(radius: int):
+    """Of rows (unit, role, fp, id) in order of unit: a star for each group of a unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        unit, role, fp, node = (rows.column(k).to_numpy() for k in range(4))
-        order = np.lexsort((node, role, unit))
-        unit, role, fp, node = unit[order], role[order], fp[order].view(np.uint64), node[order]
-        unit = np.cumsum(np.r_[False, unit[1:] != unit[:-1]])
-        trees, asks = np.flatnonzero(role < 2), np.flatnonzero(role != 1)  # 0: both, 1: tree, 2: query
-        forest = BKForest(fp[trees], unit[trees]) if len(trees) else None
-        label = np.arange(len(fp))
-        if forest is not None:
-            shard = unit[asks]
-            known = shard < len(forest.roots)
-            for q, hit in forest.near(fp[asks][known], shard[known], radius):
-                label = unite(label, asks[known][q], trees[hit])
-        least = np.full(len(fp), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, node)
-        least = least[label]
-        out = node != least
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(least[out])], names=["a", "b"])
+        for rows in runs(batches):
+            unit, role, fp, node = (rows.column(k).to_numpy() for k in range(4))
+            order = np.lexsort((node, role, unit))
+            unit, role, fp, node = unit[order], role[order], fp[order].view(np.uint64), node[order]
+            unit = np.cumsum(np.r_[False, unit[1:] != unit[:-1]])
+            trees, asks = np.flatnonzero(role < 2), np.flatnonzero(role != 1)  # 0: both, 1: tree, 2: query
+            label = np.arange(len(fp))
+            if len(trees):
+                forest = BKForest(fp[trees], unit[trees])
+                shard = unit[asks]
+                known = shard < len(forest.roots)
+                for q, hit in forest.near(fp[asks][known], shard[known], radius):
+                    label = unite(label, asks[known][q], trees[hit])
+            yield stars(node, label)
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between ids of ``nodes`` (fp, id; each fp once) that join exactly the fingerprints within the radius."""
-    blocks = radius + 1
-    cuts = [BITS * k // blocks for k in range(blocks + 1)]
-    part = lambda k: F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    keyed = nodes.select("fp", "id", F.explode(F.array(*[F.xxhash64(F.lit(k), part(k)) for k in range(blocks)])).alias("shard"))
+def search_shards(keyed: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) that join what is within the radius in a shard, of rows (shard, fp, id), each fp once in a shard."""
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     cut = keyed.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     # each unit (shard, i, j) searches the tree of part i with the queries of part j >= i
@@ -170,21 +190,35 @@ def links(nodes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> Da
         F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"), "fp", "id",
     )
-    return arrow_map(units.repartition("unit"), _stars(radius), "a long, b long")
+    return arrow_map(units.repartition("unit").sortWithinPartitions("unit"), _search(radius), "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between ids of ``nodes`` (fp, id; each fp once) that join exactly the fingerprints within the radius."""
+    n, agree = nodes.count(), 1
+    while agree < 4 and n >> agree * BITS // (radius + agree) > BY_CHANCE:
+        agree += 1
+    cuts = [BITS * k // (radius + agree) for k in range(radius + agree + 1)]
+    part = lambda k: F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    tables = combinations(range(radius + agree), agree)
+    keyed = nodes.select("fp", "id", F.explode(F.array(*[F.xxhash64(F.lit(t), *map(part, chosen)) for t, chosen in enumerate(tables)])).alias("shard"))
+    return search_shards(keyed, radius, shard_rows)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per input row: id, fingerprint (16 lowercase hex digits), component_id.
 
     component_id is the smallest id reachable over links of ``radius`` bits or fewer. A null or empty text has
-    fingerprint zero, which links like any other. A null id takes part through its fingerprint but is never a
-    component's id; where no other id is reachable, component_id is null. Rows that repeat share their component. An empty table gives no rows; other columns aren't read.
+    fingerprint zero, which links like any other. A null id takes part through its fingerprint, which may join others,
+    but is never a component's id; where no other id is reachable, component_id is null. Rows that repeat share their
+    component. An empty table gives no rows; other columns aren't read.
     """
     fps = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    roots = components(stage(links(nodes.filter("id is not null").select("fp", "id"), radius, shard_rows), "stars"))
-    moved = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    shared = moved.filter("n > 1 or root is not null").select("fp", F.coalesce("root", "id").alias("component_id"), F.lit(True).alias("shared"))
+    nodes = stage(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+    roots = components(stage(links(nodes.select("fp", F.col("fp").alias("id")), radius, shard_rows), "stars")).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"))
+    shared = placed.join(of_root.filter("all > 1"), "root").select("fp", "component_id", F.lit(True).alias("shared"))
     found = fps.join(shared, "fp", "left")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

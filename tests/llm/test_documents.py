@@ -113,6 +113,26 @@ def test_simhash(frame, docs, empty):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == set(root.values())
 
 
+def test_simhash_null_ids_join_others(spark, monkeypatch):
+    """A fingerprint that only null ids have links two others; every choice of blocks finds the same."""
+    rng = random.Random(2)
+    rows = [(9, 0b0), (None, 0b111), (5, 0b111111), (7, 1 << 40), (None, 1 << 50 | 0b1111 << 10)]
+    for k in range(60):
+        fp = rng.getrandbits(63)
+        rows += [(100 + 3 * k + j, fp ^ sum(1 << rng.randrange(63) for _ in range(2 * j))) for j in range(3)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs)
+    df = spark.createDataFrame(rows, "id long, fp long")
+    fps = defaultdict(list)
+    for i, fp in rows:
+        fps[fp].append(1 << 40 if i is None else i)
+    want = {fp: None if r == 1 << 40 else r for fp, r in brute_components(fps, 3).items()}
+    for chance in (64, 0):
+        monkeypatch.setattr(simhash, "BY_CHANCE", chance)
+        got = simhash.near_groups(df).collect()
+        assert len(got) == len(rows) and all(r["component_id"] == want[int(r["fingerprint"], 16)] for r in got)
+    assert want[0b111111] == 5 == want[0b111] == want[0] and want[1 << 50 | 0b1111 << 10] is None
+
+
 def test_bk_forest_is_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -57,6 +57,42 @@ def test_chain_of_edits(spark):
     assert n_links > 20 and len(want) < len(rows) - 20
 
 
+def test_large_groups_common_lines_and_small_parts(spark):
+    """Common shingles, shards joined whole, groups cut into parts with members left apart, repeated rows."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, line, rows = [word() for _ in range(60)], [word() for _ in range(12)], []
+    for n in range(150):
+        edited = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 6))):
+            edited[rng.randrange(60)] = word()
+        rows.append((n, " ".join(edited)))
+    rows += [(200 + n, " ".join([word() for _ in range(rng.choice((1, 20, 70)))] + line)) for n in range(80)]
+    rows += [rows[3], rows[3], (None, rows[200][1] + " end")]
+    rng.shuffle(rows)
+    want, n_links = brute_kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert n_links > 1000 and 20 < len(want) < 200
+    for how in ({}, {"common": 3, "part": 16}, {"common": 3, "shard_rows": 10, "part": 7}, {"common": 1000, "part": 1000}):
+        got = [r["doc_id"] for r in near_copies.keep_one(docs, **how).collect()]
+        assert sorted({i for i in got if i is not None}) == want and len(got) - len(set(got)) == (2 if 3 in want else 0), how
+
+
+def test_radius_covers_the_similar(spark):
+    """Of pairs at the least similarity, the share whose fingerprints are within the radius."""
+    rng = random.Random(9)
+    found = n = 0
+    for _ in range(3000):
+        size = rng.choice((9, 18, 45, 90, 450))
+        shared = rng.sample(range(1 << 62), size)
+        both = size * 8 // 9  # of two sets of this size with as many of their own, or one within the other
+        a, b = shared, shared[:both] + rng.sample(range(1 << 62), size - both) if rng.random() < 0.5 else shared[: -(-size * 8 // 10)]
+        fa, fb = (near_copies.simhash(near_copies.mix(near_copies.np.array(x, "u8"), 1).view("i8")) for x in (a, b))
+        n += 1
+        found += ((fa ^ fb) & (1 << 64) - 1).bit_count() <= near_copies.RADIUS
+    assert found / n > 0.999
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_documents(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")

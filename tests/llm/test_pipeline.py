@@ -2,14 +2,15 @@
 
 import hashlib
 import os
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from tessera.llm import mixing, quality_knn
 from tessera.llm.common import stage, table
-from tests.llm.test_documents import brute_components, brute_fingerprint, library
+from tests.llm.test_documents import library
+from tests.llm.test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -32,11 +33,8 @@ def test_stages_and_run(spark):
     got = stage(steps["exact dedup"](spark, got, SF), "t")
     assert got.columns == columns and sorted(map(tuple, got.collect())) == want
 
-    fps = defaultdict(list)
-    for r in want:
-        fps[brute_fingerprint(r[1])].append(r[0])
-    roots = set(brute_components(fps, 3).values())
-    want = [r for r in want if r[0] in roots]
+    stays, n_links = brute_kept([(r[0], r[1]) for r in want])
+    want = [r for r in want if r[0] in stays]
     got = stage(steps["simhash near-dedup"](spark, got, SF), "t")
     assert got.columns == columns and sorted(map(tuple, got.collect())) == want
 
