@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a 5-word Jaccard similarity of 0.8 or more, and those so linked to them, the smallest doc_id stays."""
+    """Of documents with a 5-word Jaccard similarity of 0.8 or more, found by SimHash and BK-trees, and those so linked to them, the smallest doc_id stays."""
     return near_copies.keep_one(docs)
 
 
