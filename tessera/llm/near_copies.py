@@ -3,9 +3,10 @@
 Documents with a Jaccard similarity of SHARE or more have fingerprints that differ in a sixth of their bits on average,
 too many to agree in long blocks of bits. So a document's shards are named by shingles instead: put in one global order,
 two sets as similar as SHARE share a shingle among the first n - ceil(SHARE * n) + 1 of each. The order is by hash, but
-shingles in more than COMMON documents come last; a document that meets such ones gives more of its shingles, until no
-document lacks uncommon ones that it has. In a shard, a BK-tree over the fingerprints joins what is within RADIUS bits,
-where a pair as similar as SHARE is with a probability above 0.9999; shards above ``shard_rows`` are joined whole.
+shingles in more than COMMON documents come last; a document that meets such ones gives as many more of its shingles,
+until no document lacks uncommon ones that it has. In a shard, a BK-tree over the fingerprints finds what is within RADIUS bits, and
+pairs are joined whose sizes allow the similarity and of whose 256 bits no more than WIDE differ; a pair as similar as
+SHARE passes with a probability above 0.9998. Shards above ``shard_rows`` are joined whole.
 
 What is joined over all shards is a group of candidates. Each member's set of shingles goes to a task of its group
 once, or to one of several of PART members, which share some members as pivots; there all pairs are compared exactly.
@@ -28,10 +29,11 @@ from .simhash import RUN_ROWS, SHARD_ROWS, runs, search_shards, stars, unite
 from .substring import WORD_MUL, word_hashes
 from .token_files import mix
 
-#: Words of a shingle; the least similarity in tenths, so that all comparisons are of whole numbers; bits of a search.
-WORDS, TENTHS, RADIUS = 5, 8, 24
+#: Words of a shingle; the least similarity in tenths, so that all comparisons are of whole numbers; of 64 bits those that a
+#: search allows to differ, and of all 256.
+WORDS, TENTHS, RADIUS, WIDE = 5, 8, 24, 72
 #: Documents of an uncommon shingle at most; members compared in one task, pivots among them; cells of a matrix.
-COMMON, PART, PIVOTS, CELLS = 64, 1024, 16, 1 << 23
+COMMON, PART, PIVOTS, CELLS = 128, 1024, 16, 1 << 23
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -48,44 +50,57 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         if len(x) >= words:
             out.append(np.unique(raw[at : at + len(x) - words + 1]))
         else:
-            short = np.uint64(len(x))
+            short = np.full(1, len(x), np.uint64)
             for k in range(len(x)):
-                short = np.multiply(short, np.uint64(WORD_MUL)) + h[at + k]
-            out.append(mix(np.array([short], np.uint64), 17).view(np.int64))
+                short = short * np.uint64(WORD_MUL) + h[at + k]
+            out.append(mix(short, 17).view(np.int64))
         at += len(x)
     return out
 
 
-def simhash(grams: np.ndarray) -> int:
-    """Majority vote per bit over a set of hashes."""
-    votes, b = np.zeros(64, np.int64), grams.view(np.uint8).reshape(-1, 8)
-    for k in range(0, len(b), 1 << 16):
-        votes += np.unpackbits(b[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(b), bitorder="little").view(np.int64)[0])
+def simhash(grams: np.ndarray, seeds: tuple = (0,)) -> np.ndarray:
+    """Majority vote per bit over a set of hashes, 64 bits for each seed."""
+    out = np.empty(len(seeds), np.int64)
+    for s, seed in enumerate(seeds):
+        votes, b = np.zeros(64, np.int64), (mix(grams.view(np.uint64), 30 + seed) if seed else grams).view(np.uint8).reshape(-1, 8)
+        for k in range(0, len(b), 1 << 16):
+            votes += np.unpackbits(b[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[s] = np.packbits(votes * 2 > len(b), bitorder="little").view(np.int64)[0]
+    return out
+
+
+def _fits(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Of pairs with (n, w1, w2, w3, fp) each: sizes that allow the similarity, and all bits within WIDE."""
+    bits = sum(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).astype(np.int64) for x, y in zip(a[1:], b[1:]))
+    return (10 * np.minimum(a[0], b[0]).astype(np.int64) >= TENTHS * np.maximum(a[0], b[0]).astype(np.int64)) & (bits <= WIDE)
 
 
-def needed(n: int) -> int:
-    """How many of a set's n shingles, first in the order, meet every set as similar as SHARE."""
-    return n + n * -TENTHS // 10 + 1
+def stored(n: int) -> int:
+    """How many of a set's n shingles are kept at first: those that meet every set as similar as SHARE, and half as many."""
+    need = n + n * -TENTHS // 10 + 1
+    return min(n, need + need // 2 + 16)
 
 
 def _signatures(whole: bool):
-    """(key, n, fp, grams) of (key, text): the first of the shingles in the order of their hashes, or ``whole`` sets."""
+    """Of (key, text): (key, n, fp, w1, w2, w3, grams) with the first shingles in the order of their hashes, or (key, grams) with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(1).to_pylist())
-                sizes = pa.array([len(x) for x in sets], pa.int32())
-                fps = pa.array([0 if whole else simhash(x) for x in sets], pa.int64())
-                grams = pa.array(sets if whole else [x[: needed(len(x))] for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, grams], names=["key", "n", "fp", "grams"])
+                grams = pa.array(sets if whole else [x[: stored(len(x))] for x in sets], pa.list_(pa.int64()))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([part.column(0), grams], names=["key", "grams"])
+                    continue
+                fps = np.array([simhash(x, (0, 1, 2, 3)) for x in sets], np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4)), grams], names=["key", "n", "fp", "w1", "w2", "w3", "grams"])
 
     return run
 
 
-SIGNATURE = "key long, n int, fp long, grams array<long>"
+SIGNATURE = "key long, n int, fp long, w1 long, w2 long, w3 long, grams array<long>"
+PRINT = ["fp", "n", "w1", "w2", "w3"]
 
 
 def _same(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,35 +153,43 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(key, grp): the group of each key of ``sig`` (key, n, fp, grams) that may have a near copy.
+    """(key, grp): the group of each key of ``sig`` that may have a near copy.
 
-    ``whole_sets`` gives (key, grams), whole, of the keys of a table.
+    ``whole_sets`` gives (key, grams), whole, of the keys of a table; only documents whose uncommon shingles are few
+    among those of ``sig`` need it.
     """
-    given = sig.select("key", F.explode("grams").alias("gram"))
-    extended = None
+    need = F.expr(f"n + cast(floor(n * -{TENTHS} / 10) as int) + 1")
+    known = sig.select("key", "n", need.alias("need"), F.size("grams").alias("stored"))
+    given, extended = sig.select("key", F.explode(F.slice("grams", 1, need)).alias("gram")), None
     while True:
         counts = stage(given.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1"), "shared")
-        often = counts.filter(F.col("met") > common).select("gram")
-        short = given.join(often, "gram", "left_semi").select("key").distinct()
-        if extended is not None:
-            short = short.join(extended.select("key"), "key", "left_anti")
-        short = stage(short, "short")
+        often = stage(counts.filter(F.col("met") > common).select("gram"), "often")
+        hot = given.join(often, "gram", "left_semi").groupBy("key").agg(F.count("*").cast("int").alias("hot")).join(known, "key")
+        hot = hot.join(extended, "key", "left").withColumn("upto", F.coalesce("upto", "need")) if extended is not None else hot.withColumn("upto", F.col("need"))
+        more = F.least(F.col("need") + F.col("hot") + F.floor(F.col("hot") / 2).cast("int") + 4, F.col("n"))
+        short = hot.filter("upto - hot < need and upto < n").select("key", "upto", F.when(more <= F.col("stored"), more).otherwise(F.col("n")).alias("next"), F.col("stored") >= more)
+        short = stage(short.toDF("key", "from", "next", "near"), "short")
         if short.isEmpty():
             break
-        extended = short if extended is None else stage(extended.select("key").unionByName(short), "extended")
-        more = whole_sets(short).select("key", F.explode("grams").alias("gram"))
-        given = stage(given.join(short, "key", "left_anti").unionByName(more), "given")
-    if extended is not None:  # of their shingles, the first ones: uncommon ones in order, then common ones
-        own = given.join(extended, "key", "left_semi").join(counts, "gram", "left")
-        ordered = own.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((F.coalesce("met", F.lit(1)) > common).alias("often"), "gram"))).alias("all"))
-        first = F.slice("all", 1, F.expr(f"size(all) + cast(floor(size(all) * -{TENTHS} / 10) as int) + 1"))
-        given = given.join(extended, "key", "left_anti").unionByName(ordered.select("key", F.explode(first).alias("x")).select("key", "x.gram"))
+        span = F.explode(F.slice("grams", F.col("from") + 1, F.col("next") - F.col("from"))).alias("gram")
+        new = sig.join(short.filter("near"), "key").select("key", span)
+        if not (far := short.filter("not near")).isEmpty():
+            new = new.unionByName(whole_sets(far).join(far, "key").select("key", span))
+        given = given.unionByName(stage(new, "more"))
+        now = short.select("key", F.col("next").alias("upto"))
+        extended = stage(now if extended is None else extended.join(now, "key", "left_anti").unionByName(now), "extended")
+    if extended is not None:  # of what these gave, the first: uncommon ones in order, then common ones
+        own = given.join(extended, "key", "left_semi").join(often.withColumn("often", F.lit(True)), "gram", "left")
+        ordered = own.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(False)).alias("often"), "gram"))).alias("all"))
+        first = ordered.join(known, "key").select("key", F.explode(F.slice("all", 1, F.col("need"))).alias("x")).select("key", "x.gram")
+        given = given.join(extended, "key", "left_anti").unionByName(first)
     meets = stage(given.join(counts.select("gram"), "gram", "left_semi"), "meets")
-    nodes = sig.join(meets.select("key").distinct(), "key", "left_semi").select("key", "fp")
-    nodes = stage(nodes.join(nodes.groupBy("fp").agg(F.min("key").alias("node")), "fp"), "nodes")
-    keyed = stage(meets.join(nodes, "key").select(F.col("gram").alias("shard"), "fp", F.col("node").alias("id")).distinct(), "shards")
+    nodes = sig.join(meets.select("key").distinct(), "key", "left_semi").select("key", *PRINT)
+    nodes = stage(nodes.join(nodes.groupBy(*PRINT).agg(F.min("key").alias("node")), PRINT), "nodes")
+    keyed = meets.join(nodes, "key").select(F.col("gram").alias("shard"), "fp", F.col("node").alias("id"), *PRINT[1:], F.col("fp").alias("w0"))
+    keyed = stage(keyed.distinct(), "shards")
     big = stage(keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter(F.col("n") > shard_rows), "big")
-    joined = search_shards(keyed.join(big, "shard", "left_anti"), RADIUS, shard_rows).unionByName(keyed.join(big, "shard").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    joined = search_shards(keyed.join(big, "shard", "left_anti"), RADIUS, shard_rows, _fits).unionByName(keyed.join(big, "shard").select(F.col("low").alias("a"), F.col("id").alias("b")))
     roots = components(stage(joined, "candidates")).withColumnRenamed("node", "n2")
     placed = nodes.join(roots, F.col("node") == F.col("n2"), "left").select("key", F.coalesce("root", "node").alias("grp"))
     sizes = placed.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
@@ -216,9 +239,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = sig.join(keys.select("key"), "key", "left_semi").select("key", F.col("id").alias("i"), "h")
         texts = rows.withColumn("h2", F.xxhash64("text"))
         found = texts.join(wanted, (F.col("h2") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("key", "text")
-        return arrow_map(found.dropDuplicates(["key"]), _signatures(True), SIGNATURE)  # a row may repeat
+        return arrow_map(found.dropDuplicates(["key"]), _signatures(True), "key long, grams array<long>")  # a row may repeat
 
-    groups = stage(candidates(sig.select("key", "n", "fp", "grams"), whole_sets, common, shard_rows), "groups")
+    groups = stage(candidates(sig.drop("id", "h"), whole_sets, common, shard_rows), "groups")
     roots = components(verified(groups, whole_sets, part)).withColumnRenamed("node", "key")
     placed = sig.select("key", "id").join(roots, "key", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -158,14 +158,17 @@ def stars(node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(least[out])], names=["a", "b"])
 
 
-def _search(radius: int):
-    """Of rows (unit, role, fp, id) in order of unit: a star for each group of a unit."""
+def _search(radius: int, fits=None):
+    """Of rows (unit, role, fp, id, ...) in order of unit: a star for each group of a unit.
+
+    ``fits`` is asked, with the further columns of both sides, which of the pairs within the radius are links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches):
-            unit, role, fp, node = (rows.column(k).to_numpy() for k in range(4))
+            unit, role, fp, node, *more = (rows.column(k).to_numpy() for k in range(rows.num_columns))
             order = np.lexsort((node, role, unit))
-            unit, role, fp, node = unit[order], role[order], fp[order].view(np.uint64), node[order]
+            unit, role, fp, node, more = unit[order], role[order], fp[order].view(np.uint64), node[order], [x[order] for x in more]
             unit = np.cumsum(np.r_[False, unit[1:] != unit[:-1]])
             trees, asks = np.flatnonzero(role < 2), np.flatnonzero(role != 1)  # 0: both, 1: tree, 2: query
             label = np.arange(len(fp))
@@ -174,23 +177,27 @@ def _search(radius: int):
                 shard = unit[asks]
                 known = shard < len(forest.roots)
                 for q, hit in forest.near(fp[asks][known], shard[known], radius):
-                    label = unite(label, asks[known][q], trees[hit])
+                    a, b = asks[known][q], trees[hit]
+                    if fits:
+                        ok = (a != b) & fits([x[a] for x in more], [x[b] for x in more])
+                        a, b = a[ok], b[ok]
+                    label = unite(label, a, b)
             yield stars(node, label)
 
     return run
 
 
-def search_shards(keyed: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) that join what is within the radius in a shard, of rows (shard, fp, id), each fp once in a shard."""
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    cut = keyed.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+def search_shards(keyed: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, fits=None) -> DataFrame:
+    """Links (a, b) that join what is within the radius in a shard, of rows (shard, fp, id, ...), and what ``fits``."""
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("shard_size")).filter("shard_size > 1")
+    cut = keyed.join(sizes, "shard").withColumn("parts", F.ceil(F.col("shard_size") / shard_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     # each unit (shard, i, j) searches the tree of part i with the queries of part j >= i
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = pairs.select(
         F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"), "fp", "id",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"), "fp", "id", *keyed.columns[3:],
     )
-    return arrow_map(units.repartition("unit").sortWithinPartitions("unit"), _search(radius), "a long, b long")
+    return arrow_map(units.repartition("unit").sortWithinPartitions("unit"), _search(radius, fits), "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
