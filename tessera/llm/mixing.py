@@ -5,7 +5,10 @@ is given to all; the fraction becomes 0 or 1 by pivotal rounding: two documents
 mass, in units of words, until one of them is 0 or 1. The direction is drawn so that every probability keeps its
 expectation, and the words taken stay exactly what they were. The rounding is a reduction tree: each task rounds the
 documents of one bucket of a source and leaves one fractional document, the leftovers of some buckets meet at the next
-level, and the last one of a source is rounded by a draw. Draws are hashes of ids, so reruns agree.
+level, until a source has one. Long documents come first, in TIERS by size: the last one of a tier is rounded by a draw
+if the shorter documents still open can make up for either outcome, else to the side that they can, else to the nearer
+one; they then share what is left of the target. So what a source misses is a part of a document of the last tier, where
+it has some. Draws are hashes of ids, so reruns agree.
 
 A source with a third of all rows fills as many buckets as its size asks for; no task holds more than some
 ``bucket_rows`` of them.
@@ -13,14 +16,17 @@ A source with a third of all rows fills as many buckets as its size asks for; no
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, pick, ship, stage, text_or_empty
 
-#: Documents of a bucket, leftovers that meet at the next level, and copies of a document at most.
+#: Documents of a bucket, leftovers that meet at the next level, and copies of a document at most; least sizes of the tiers.
 BUCKET_ROWS, FAN_IN, MOST = 4096, 64, 3
+TIERS = (2048, 256, 32, 1)
 ROWS = "source string, key long, size long, p double, draw double, taken int"
 
 
@@ -90,24 +96,43 @@ def _reduce(group: pd.DataFrame) -> pd.DataFrame:
     return group[["source", "key", "size", "p", "draw", "taken"]]
 
 
-def round_all(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """(key, taken) for rows (source, key, size, p, draw) with 0 < p < 1, by the reduction tree."""
+def round_all(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
+    """For rows (source, key, size, p, draw) with 0 < p < 1, by the reduction tree: (source, key, size, taken), and the same rows of the sources' last documents, with what is left of p."""
     ship(rows.sparkSession)
     counts = rows.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("buckets"))
     left = rows.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(11)), "buckets").cast("int"))
     done = []
     while True:
         out = stage(left.groupBy("source", "bucket", "buckets").applyInPandas(_keyed, ROWS + ", bucket int, buckets int"), "rounded")
-        done.append(out.filter("taken is not null").select("key", "taken"))
+        done.append(out.filter("taken is not null").select("source", "key", "size", "taken"))
         left = out.filter("taken is null")
         if (left.agg(F.max("buckets")).first()[0] or 1) == 1:
             break
         left = left.drop("taken").withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / fan_in).cast("int"))
-    done.append(left.select("key", F.when(F.col("draw") < F.col("p"), 1).otherwise(0).alias("taken")))
-    whole = done[0]
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    return whole
+    return reduce(DataFrame.unionByName, done), left.select("source", "key", "size", "p", "draw")
+
+
+def round_tiers(rows: DataFrame, words: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(key, taken) for rows (source, key, size, draw); ``words`` has (source, need): the words to take of each source."""
+    rows = rows.withColumn("tier", reduce(lambda rest, t: F.when(F.col("size") >= TIERS[t], t).otherwise(rest), reversed(range(len(TIERS))), F.lit(len(TIERS))))
+    per = rows.groupBy("source").agg(*[F.sum(F.when(F.col("tier") >= t, F.col("size")).otherwise(0)).cast("double").alias(f"open{t}") for t in range(len(TIERS) + 1)])
+    same = lambda a, b: a.join(b.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    state, whole = stage(same(per, words), "needs"), []
+    for t in range(len(TIERS)):
+        own = rows.filter(F.col("tier") == t)
+        rate = F.greatest(F.least(F.col("need") / F.col(f"open{t}"), F.lit(1.0)), F.lit(0.0))
+        rates = state.filter(F.col(f"open{t}") > 0).select("source", rate.alias("p"), F.col(f"open{t + 1}").alias("after"))
+        rated = same(own, rates.select("source", "p")).select("source", "key", "size", "p", "draw")
+        found, last = round_all(rated, bucket_rows)
+        last = same(last.withColumnRenamed("p", "rest"), rates)
+        up, down = (1 - F.col("rest")) * F.col("size"), F.col("rest") * F.col("size")
+        can_up, can_down = up <= F.col("p") * F.col("after"), down <= (1 - F.col("p")) * F.col("after")
+        drawn = F.when(can_up & can_down, F.col("draw") < F.col("rest")).when(can_up | can_down, can_up).otherwise(up < down)
+        found = stage(found.unionByName(last.select("source", "key", "size", F.when(drawn, 1).otherwise(0).alias("taken"))), "tier")
+        whole.append(found.select("key", "taken"))
+        got = found.groupBy("source").agg(F.sum(F.col("taken") * F.col("size")).cast("double").alias("got"))
+        state = stage(same(state, got).withColumn("need", F.col("need") - F.coalesce("got", F.lit(0.0))).drop("got"), "needs")
+    return reduce(DataFrame.unionByName, whole)
 
 
 def _keyed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -133,8 +158,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = rated.withColumn("whole", F.floor(rate + 1e-12).cast("int")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     draw = F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    open_ = rated.filter("p > 0 and size > 0").select("source", "key", "size", "p").distinct().withColumn("draw", draw)
-    rounded = round_all(open_, bucket_rows)
+    # rows that repeat, and by chance rows of one hash, are one row, so that nothing is taken twice below
+    some = rated.filter("p > 0 and size > 0")
+    open_ = some.groupBy("key").agg(F.min(F.struct("source", "size")).alias("x"), F.count("*").alias("n")).select("x.source", "key", (F.col("x.size") * F.col("n")).alias("size"), draw.alias("draw"))
+    words = per_source.select(F.col("s").alias("source"), (F.col("target") - F.floor(F.col("target") / F.col("source_size") + 1e-12) * F.col("source_size")).alias("need")).filter("need is not null")
+    rounded = round_tiers(stage(open_, "open"), words, bucket_rows)
     found = rated.join(rounded, "key", "left")
     copies = F.col("whole") + F.coalesce(F.col("taken"), F.lit(0))
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("key").alias("row_key"))
@@ -142,7 +170,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **how) -> DataFrame:
     """The rows of the mix with all their columns: each as often as ``mix`` says, those with no copy not at all."""
-    copies = mix(docs, id_col, source_col, text_col, seed, **how).filter("copies > 0").select(F.col("row_key").alias("__row_key"), F.col("copies").alias("__copies")).distinct()
+    copies = mix(docs, id_col, source_col, text_col, seed, **how).filter("copies > 0").select(F.col("row_key").alias("__row_key"), F.col("copies").alias("__copies"))
+    copies = copies.groupBy("__row_key").agg(F.max("__copies").alias("__copies"))
     keyed = docs.withColumn("__key", row_key(id_col, source_col, text_col, seed))
     out = keyed.join(copies, F.col("__key") == F.col("__row_key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

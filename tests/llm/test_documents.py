@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture: nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -348,13 +349,58 @@ def test_mixing(frame, docs, empty):
         s = [None, "s1", "s2", "s3"][(r["doc_id"] or 0) % 4]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s]) and r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 2 * 3000 for s in order)
+    # what a source misses is a part of a short document, where it has some
+    assert all(abs(taken[s] - target[s]) <= 80 for s in order), (taken, target, sizes)
     again = mixing.mix(frame.repartition(7), bucket_rows=4).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     out = mixing.take(frame)
     assert out.columns == frame.columns and mixing.take(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def brute_taken(rows, target, seed=7):
+    """Copies of (key, size) by one bucket per source and tier, from the same draws."""
+    import xxhash
+
+    total = sum(n for _, n in rows)
+    whole = int(target / total + 1e-12)
+    draw = lambda key: (xxhash.xxh64_intdigest(int(seed).to_bytes(4, "little"), xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)) >> 11) / 2**53
+    need, copies = target - whole * total, {}
+    tier = lambda n: next((t for t, least in enumerate(mixing.TIERS) if n >= least), len(mixing.TIERS))
+    for t in range(len(mixing.TIERS)):
+        own = [(k, n) for k, n in rows if tier(n) == t]
+        open_, after = (sum(n for _, n in rows if t + j <= tier(n) < len(mixing.TIERS)) for j in (0, 1))
+        if not open_:
+            continue
+        p = min(max(need / open_, 0.0), 1.0)
+        own.sort(key=lambda r: (-r[1], draw(r[0]), r[0]))
+        chance, sizes, draws = [p] * len(own), [n for _, n in own], [draw(k) for k, _ in own]
+        out, held = mixing.pivot(sizes, chance, draws)
+        if held is not None:
+            up, down = (1 - chance[held]) * sizes[held], chance[held] * sizes[held]
+            can_up, can_down = up <= p * after, down <= (1 - p) * after
+            out[held] = int(draws[held] * 7919 % 1 < chance[held] if can_up and can_down else can_up if can_up or can_down else up < down)
+        need -= sum(n * x for n, x in zip(sizes, out))
+        copies |= {k: x for (k, _), x in zip(own, out)}
+    return {k: whole + copies.get(k, 0) for k, _ in rows}
+
+
+def test_mixing_takes_what_brute_force_takes(spark):
+    rng = random.Random(11)
+    rows = [(k, " ".join(["w"] * rng.choice([1, 5, 40, 300, 3000])), rng.choice("abc")) for k in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        mine = [r for r in got if rows[r["doc_id"]][2] == s]
+        want = brute_taken([(r["row_key"], r["size"]) for r in mine], mine[0]["target"])
+        assert {r["row_key"]: r["copies"] for r in mine} == want
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_mixing_meets_targets(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(rows) > 3 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in rows)
+
+
 def test_pivot_keeps_words_and_expectations():
     rng = random.Random(9)
     size = [rng.randint(1, 50) for _ in range(200)]
