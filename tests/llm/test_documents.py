@@ -293,14 +293,34 @@ def test_quality_votes(spark, frame, docs, empty):
     held = [r for r in scored if r["held"]]
     assert len(held) > 20 and all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scored)
     assert all((r["score"] >= 0.3) == truth[r["doc_id"]] for r in held)
-    out = quality_knn.score(frame.drop("score"), model)
+    out = quality_knn.score(frame, model)
+    assert out.columns.count("score") == 1 and set(out.columns) == set(frame.columns)
     assert out.count() == len(docs) and out.filter("score is null or score < 0 or score > 1").count() == 0
-    assert quality_knn.score(empty.drop("score"), model).count() == 0
+    assert quality_knn.score(empty, model).count() == 0
     none = quality_knn.fit(texts, labels.limit(0))
     assert {r["score"] for r in quality_knn.score(texts, none).collect()} == {0.5}
     assert quality_knn.accept(frame, none).columns == frame.columns
 
 
+def test_quality_scores_are_those_of_all_cosines(spark, frame, docs):
+    """Every document against every vector, one at a time; near ties may fall either way."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"][k % 3 :]) for _ in range(rng.randint(5, 60)))) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0 or rng.random() < 0.2)) for k in range(300)], "doc_id long, quality int")
+    model = quality_knn.fit(spark.createDataFrame(rows + rows[:5], "doc_id long, text string"), labels, sample=70)
+    assert len(model.vectors) == 140
+    for r in quality_knn.score(frame, model).collect():
+        x = np.log1p(quality_knn.term_counts(r["text"])) * model.idf
+        x = (x / max(np.linalg.norm(x), 1e-30)) @ model.axes
+        x = x / np.linalg.norm(x) if np.linalg.norm(x) > quality_knn.FAINT else x * 0
+        cos = [float(sum(a * b for a, b in zip(x.tolist(), v.tolist()))) for v in model.vectors]
+        order = sorted(range(len(cos)), key=lambda k: -cos[k])
+        near, sure = order[: quality_knn.NEIGHBOURS], cos[order[quality_knn.NEIGHBOURS - 1]] - cos[order[quality_knn.NEIGHBOURS]] > 1e-5
+        votes = [max(cos[k], 0.0) ** quality_knn.SHARP * model.votes[k] for k in near]
+        want = sum(v * model.good[k] for v, k in zip(votes, near)) / sum(votes) if sum(votes) > 0 else model.prior
+        assert not sure or r["score"] == pytest.approx(want, abs=1e-3), (r["text"], sorted(cos)[-20:], sum(votes))
+
+
 def test_secret_spans(frame, docs, empty):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     got = {r["doc_id"]: r for r in secret_scan.digests(frame).collect()}
