@@ -1,15 +1,21 @@
-"""Secret scans: pattern spans, and tokens that a battery of randomness tests can't tell from random strings.
+"""Secret scans: pattern spans, and tokens that look random and not like ordinary text.
 
-Tokens of TOKEN characters or more get an encoding inferred from their characters (hex, base32, letters and digits,
-base64). Three tests ask whether their characters could be independent and uniform over that alphabet: chi-squared of
-the counts, runs above and below the alphabet's middle, and serial correlation of neighbours. Fisher's method combines
-their p-values. Within each class of lengths the Benjamini-Hochberg procedure then finds the tokens that are not
-random, with the expected share of random ones among them held at FDR; short tokens, whose tests are weak, and long
-ones don't share a threshold. Tokens that stay are reported as ``random`` spans if they hold letters and digits.
+Tokens of TOKEN characters or more, and the pieces of that length between their ``/`` and ``+``, get an encoding inferred
+from their characters (hex, base32, letters and digits, base64). Three tests ask whether the characters could be
+independent and uniform over that alphabet: chi-squared of the counts, runs above and below the alphabet's middle, and
+serial correlation of neighbours; Fisher's method combines them, and a token that they reject at ALPHA is not random.
+
+What is not rejected may still be ordinary: the tests are weak on short tokens. So each token also gets a p-value under
+the hypothesis that it is ordinary: the inverse of its likelihood ratio, uniform over its alphabet against a model of
+ordinary text, which is at least as small as chance has it with no more than that probability (Markov's inequality).
+The model's letters follow the pairs counted in all long words of the corpus, case folded; its classes (lower, upper,
+digit, mark) stay with STAY and else change to any other. Within each class of lengths the Benjamini-Hochberg procedure
+picks the tokens that are not ordinary, so the expected share of ordinary ones among those reported is FDR at most.
 
 Only DataFrame functions run. Found strings are exploded to rows with the lengths of what lies between them, so places
 are running sums within a text; texts without any never leave their task. The procedure works on counts of p-values on a
-fixed grid, so its ranking handles BINS rows for each length class whatever the number of tokens.
+fixed grid, so its ranking handles BINS rows for each length class whatever the number of tokens; the model is a table of
+27 by 26 letters.
 """
 
 from __future__ import annotations
@@ -30,9 +36,12 @@ KINDS = {
 }
 TOKEN = 20
 RANDOM = "random"
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{TOKEN},}}"
-#: Of the tokens called not random, the expected share that is; steps of -log10 p and their number.
-FDR, STEP, BINS = 0.05, 0.05, 2000
+#: Padding ends a token, so a name and its value aren't one; the pieces of a path are tokens too.
+CANDIDATE, PIECE = f"[A-Za-z0-9+/_-]{{{TOKEN},}}={{0,2}}", f"[A-Za-z0-9_-]{{{TOKEN},}}"
+#: Of the tokens reported, the expected share that is ordinary; steps of -log10 p and their number; the level of the battery.
+FDR, STEP, BINS, ALPHA = 0.05, 0.05, 2000, 0.001
+#: Letters of a word that counts for the model; the chance that a class of characters stays, and added counts of a pair.
+LONG_WORD, STAY, SMOOTH = 8, 0.7, 0.5
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -107,23 +116,56 @@ def battery(tokens: DataFrame) -> DataFrame:
     least = lambda p: F.least(F.greatest(p, F.lit(1e-99)), F.lit(1.0))
     t = t.withColumn("p_uniform", least(p_uniform)).withColumn("p_runs", least(p_runs)).withColumn("p_serial", least(p_serial))
     x = -F.log(F.col("p_uniform")) - F.log(F.col("p_runs")) - F.log(F.col("p_serial"))  # half of Fisher's statistic
-    return t.withColumn("p", least(F.exp(-x) * (1 + x + x * x / 2))).drop("body", "letters", "m", "squares", "bits", "codes", "products")
-
-
-def not_random(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(length_class, cut): tokens of the class with a bin of -log10 p from ``cut`` on are not random."""
+    return t.withColumn("p", least(F.exp(-x) * (1 + x + x * x / 2))).drop("letters", "squares", "bits", "codes", "products")
+
+
+def letter_pairs(rows: DataFrame) -> list[float]:
+    """Natural logs of the shares of each letter after a given one, and, as the last 26, at a word's start, in all long words."""
+    words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z]{{{LONG_WORD},}}"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("c"))
+    pairs = words.select("c", F.explode(F.expr("transform(sequence(0, length(w) - 1), i -> substring(w, if(i = 0, 1, i), if(i = 0, 1, 2)))")).alias("pair"))
+    counts = [SMOOTH] * (27 * 26)
+    for r in pairs.groupBy("pair").agg(F.sum("c").alias("c")).collect():  # 27 * 26 rows at most
+        *before, last = (LOWER.index(x) for x in r["pair"])
+        counts[(before[0] if before else 26) * 26 + last] += r["c"]
+    totals = [sum(counts[k * 26 : k * 26 + 26]) for k in range(27)]
+    return [round(math.log(c / totals[k // 26]), 4) for k, c in enumerate(counts)]
+
+
+def ordinary(tested: DataFrame, pairs: list[float]) -> DataFrame:
+    """``tested`` (with body, m and n) and p_ordinary: small if the token is unlike ordinary text."""
+    table = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<double>")
+    classes = F.translate("body", LOWER + UPPER + DIGITS + "+/", "l" * 26 + "u" * 26 + "d" * 10 + "mm")
+    t = tested.withColumn("classes", classes).withColumn("places", F.expr(f"transform(filter(split(lower(body), ''), c -> c <> ''), c -> locate(c, '{LOWER}') - 1)"))
+    stays = F.expr("aggregate(sequence(1, length(classes) - 1), 0, (a, i) -> a + if(substring(classes, i, 1) = substring(classes, i + 1, 1), 1, 0))")
+    # a digit is one of ten, a mark one of two; a letter follows the one before, or begins where that isn't one
+    before = F.expr("concat(array(-1), slice(places, 1, size(places) - 1))")
+    letters = F.aggregate(F.zip_with("places", before, lambda x, y: F.when(x >= 0, F.get(table, F.when(y >= 0, y).otherwise(26) * 26 + x)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    count = lambda c: F.expr(f"length(classes) - length(replace(classes, '{c}', ''))")
+    of_null = stays * math.log(STAY) + (F.col("n") - 1 - stays) * math.log((1 - STAY) / 3) - math.log(4) + letters - count("d") * math.log(10) - count("m") * math.log(2)
+    ratio = -F.col("n") * F.log("m") - math.log(len(ENCODINGS)) - of_null
+    return t.withColumn("p_ordinary", F.exp(-F.least(F.greatest(ratio, F.lit(0.0)), F.lit(230.0)))).drop("classes", "places")
+
+
+def rejected(tested: DataFrame, fdr: float = FDR) -> DataFrame:
+    """(length_class, least): tokens of the class with a bin of -log10 p_ordinary from ``least`` on are not ordinary."""
     counts = tested.groupBy("length_class", "bin").agg(F.count("*").alias("c"))
     by_class = Window.partitionBy("length_class")
     ranked = counts.withColumn("rank", F.sum("c").over(by_class.orderBy(F.col("bin").desc()))).withColumn("all", F.sum("c").over(by_class))
-    return ranked.filter(F.pow(F.lit(10.0), -F.col("bin") * STEP) <= F.col("rank") / F.col("all") * fdr).groupBy("length_class").agg(F.min("bin").alias("cut"))
+    return ranked.filter(F.pow(F.lit(10.0), -F.col("bin") * STEP) <= F.col("rank") / F.col("all") * fdr).groupBy("length_class").agg(F.min("bin").alias("least"))
 
 
-def random_tokens(spans: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Of candidate spans, those that stay after the procedure and hold both letters and digits."""
-    tested = battery(spans).withColumn("length_class", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.least(F.floor(-F.log10("p") / STEP), F.lit(BINS - 1)).cast("int"))
-    cuts = F.broadcast(not_random(tested, fdr))  # a row per power of two of the lengths
-    kept = tested.join(cuts, "length_class", "left").filter("cut is null or bin < cut")
-    return kept.filter(F.regexp_like("value", F.lit("[0-9]")) & F.regexp_like("value", F.lit("[A-Za-z]"))).select("id", "key", "kind", "start", "end", "value")
+def random_tokens(spans: DataFrame, pairs: list[float], fdr: float = FDR, alpha: float = ALPHA) -> DataFrame:
+    """Of candidate spans, those that are not ordinary, that the battery leaves, and that hold both letters and digits; of nested ones the widest."""
+    tested = battery(spans.dropDuplicates(["id", "key", "start", "end"]))
+    tested = ordinary(tested.select("id", "key", "start", "end", "value", "body", "m", "n", "p"), pairs)
+    tested = tested.withColumn("length_class", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.least(F.floor(-F.log10("p_ordinary") / STEP), F.lit(BINS - 1)).cast("int"))
+    tested = stage(tested.select("id", "key", "start", "end", "value", "length_class", "bin", "p"), "tested")  # used four times
+    least = F.broadcast(rejected(tested, fdr))  # a row per power of two of the lengths
+    kept = tested.join(least, "length_class").filter((F.col("bin") >= F.col("least")) & (F.col("p") >= alpha))
+    kept = kept.filter(F.regexp_like("value", F.lit("[0-9]")) & F.regexp_like("value", F.lit("[A-Za-z]"))).select("id", "key", F.lit(RANDOM).alias("kind"), "start", "end", "value")
+    wide = kept.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e")) & (F.col("end") - F.col("start") < F.col("e") - F.col("s"))
+    return kept.join(wide, inside, "left_anti")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -134,8 +176,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     """
     rows = pick(docs, id=id_col, text=text_col).select("id", text_or_empty("text").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    spans = stage(found(rows, {**KINDS, RANDOM: (CANDIDATE, 0, TOKEN)}), "spans")
-    whole = spans.filter(F.col("kind") != RANDOM).unionByName(random_tokens(spans.filter(F.col("kind") == RANDOM), fdr))
+    spans = stage(found(rows, {**KINDS, RANDOM: (CANDIDATE, 0, TOKEN), "piece": (PIECE, 0, TOKEN)}), "spans")
+    of_kind = F.col("kind").isin(*KINDS)
+    whole = spans.filter(of_kind).unionByName(stage(random_tokens(spans.filter(~of_kind), letter_pairs(rows), fdr), "random"))
     names = [*KINDS, RANDOM]
     number = reduce(lambda rest, k: F.when(F.col("kind") == k, names.index(k)).otherwise(rest), names, F.lit(None))
     per_row = whole.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("kind_no"), "end", "kind"))).alias("spans"))

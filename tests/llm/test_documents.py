@@ -338,15 +338,75 @@ def test_secret_spans(frame, docs, empty):
     assert some >= 2 and secret_scan.scan(empty).count() == 0 and secret_scan.scan(frame).count() == len(docs)
 
 
-def test_randomness_battery(spark):
+def test_planted_secrets_are_found_and_ordinary_tokens_left(spark):
+    """Precision and recall of the method's spans on secrets outside the base patterns, slugs, paths and names."""
     rng = random.Random(4)
-    strings = [("".join(rng.choice("0123456789abcdef") for _ in range(40)), True) for _ in range(60)]
-    strings += [("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48)), True) for _ in range(60)]
-    strings += [("abababab12" * 4, False), ("a1" * 30, False), ("thenthe1thenand2thethanthe3andthethenthe4thanthethen", False), ("1234567890" * 4, False)]
-    df = spark.createDataFrame([(k, k, "random", 0, len(s), s) for k, (s, _) in enumerate(strings)], "id long, key long, kind string, start long, end long, value string")
-    kept = {r["id"] for r in secret_scan.random_tokens(df).collect()}
-    truth = [k for k, (_, r) in enumerate(strings) if r]
-    assert sum(k in kept for k in truth) >= 0.9 * len(truth) and all(k not in kept for k, (_, r) in enumerate(strings) if not r)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    words = "the of and configuration service international formatter request handler stone river light window processing temperature community development environment organization understanding performance available university description information".split()
+    make = lambda join, case: join.join(case(rng.choice(words)) for _ in range(rng.randint(3, 6)))
+    year = lambda: str(rng.randint(1990, 2030))
+    planted, texts = [], []
+    for k in range(400):
+        secret = "".join(rng.choice(alphabets[k % 4]) for _ in range(rng.choice([28, 30, 40, 64])))
+        if any(c.isdigit() for c in secret) and any(c.isalpha() for c in secret):
+            before = rng.choice(["SESSION=", "see ", "https://x.io/v1/", "id:"])
+            texts.append(f"{make(' ', str)} {before}{secret} {make(' ', str)}")
+            planted.append((len(texts) - 1, texts[-1].index(secret), texts[-1].index(secret) + len(secret)))
+    clean = [make("-", str) + "-" + year() for _ in range(150)] + [make("/", str) + "/v" + year() for _ in range(150)] + [make("", str.title) + year() for _ in range(150)] + [make("_", str.upper) + "_" + year() for _ in range(150)]
+    clean += ["ISO8601DateTimeFormatter2" + make("", str.title), "abababab12" * 4, "a1" * 30, "thenthe1thenand2thethanthe3andthethenthe4thanthethen", "1234567890" * 4]
+    texts += [f"{make(' ', str)} {c} {make(' ', str)}" for c in clean]
+    got = set()
+    for r in secret_scan.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect():
+        got |= {(r["doc_id"], x["start"], x["end"]) for x in r["spans"] if x["kind"] == "random"}
+    hit = sum(any(i == j and a <= b and c >= d for i, a, c in got) for j, b, d in planted)
+    false = sum(not any(i == j and a <= d and b <= c for j, b, d in planted) for i, a, c in got)
+    assert hit >= 0.9 * len(planted) and false <= 0.05 * len(got), (hit, len(planted), false, len(got))
+
+
+def test_random_spans_against_brute_force(spark):
+    """The tests and the procedure in plain Python on the same tokens."""
+    import math
+
+    rng = random.Random(14)
+    letters = secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS
+    values = ["".join(rng.choice(letters[: rng.choice([36, 62])]) for _ in range(rng.choice([20, 24, 40, 70]))) for _ in range(40)]
+    values += ["-".join(rng.choice(["one", "river", "stone", "x9", "light"]) for _ in range(6)) for _ in range(60)] + ["ab12" * 8, "0f" * 20]
+    pairs = secret_scan.letter_pairs(spark.createDataFrame([("internationalization " * 3 + "communication",)], "text string"))
+    assert len(pairs) == 27 * 26 and all(abs(sum(math.exp(x) for x in pairs[k : k + 26]) - 1) < 1e-2 for k in range(0, 702, 26))
+    df = spark.createDataFrame([(k, k, "random", 0, len(v), v) for k, v in enumerate(values)], "id long, key long, kind string, start long, end long, value string")
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    tested = []
+    for v in values:
+        body = v.translate(str.maketrans("-_", "+/")).rstrip("=")
+        _, _, alphabet = next(e for e in secret_scan.ENCODINGS if re.fullmatch(f"[{e[1]}]+", body))
+        n, m, codes = len(body), len(alphabet), [alphabet.index(c) for c in body]
+        chi = m / n * sum(codes.count(k) ** 2 for k in range(m)) - n
+        p1 = tail(((max(chi, 0) / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1))))
+        high = [c >= m // 2 for c in codes]
+        ones = sum(high)
+        runs, pairs2 = 1 + sum(a != b for a, b in zip(high, high[1:])), 2 * ones * (n - ones)
+        spread = math.sqrt(max(0, pairs2 * (pairs2 - n) / (n * n * (n - 1))))
+        p2 = 2 * tail(abs((runs - pairs2 / n - 1) / spread)) if spread > 0 else 0.5 ** (n - 1)
+        mid = (m - 1) / 2
+        p3 = 2 * tail(abs(sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / ((m * m - 1) / 12 * math.sqrt(n - 1))))
+        x = -sum(math.log(min(max(p, 1e-99), 1)) for p in (p1, p2, p3))
+        kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m"
+        null = -math.log(4) + sum(math.log(0.7 if kind(a) == kind(b) else 0.1) for a, b in zip(body, body[1:]))
+        for k, c in enumerate(body):
+            if c.isalpha():
+                null += pairs[(secret_scan.LOWER.index(body[k - 1].lower()) if k and body[k - 1].isalpha() else 26) * 26 + secret_scan.LOWER.index(c.lower())]
+            else:
+                null -= math.log(10 if c.isdigit() else 2)
+        ratio = -n * math.log(m) - math.log(6) - null
+        tested.append((math.exp(-x) * (1 + x + x * x / 2), int(min(max(ratio, 0), 230) / math.log(10) / 0.05 + 1e-9), int(math.log2(n))))
+    want = set()
+    for k, (p, b, c) in enumerate(tested):
+        mine = [y for _, y, d in tested if d == c]
+        cuts = [y for y in mine if 10 ** (-y * 0.05) <= sum(z >= y for z in mine) / len(mine) * 0.05]
+        if cuts and b >= min(cuts) and p >= 0.001 and re.search("[0-9]", values[k]) and re.search("[A-Za-z]", values[k]):
+            want.add(k)
+    got = {r["id"] for r in secret_scan.random_tokens(df, pairs).collect()}
+    assert len(want) > 25 and got == want
 
 
 def test_mixing(frame, docs, empty):
