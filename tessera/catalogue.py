@@ -150,10 +150,11 @@ def transitive_importers_d3(w):
 
 
 @query("""with recursive e as (select src, dst from w_imports union select a.file_id, b.file_id from w_calls k join w_functions a on a.fn_id = k.src join w_functions b on b.fn_id = k.dst where a.file_id <> b.file_id),
-t as (select dst as anchor, src as file_id, 1 as depth from e union all select t.anchor, e.src, t.depth + 1 from t join e on e.dst = t.file_id where t.depth < 2)
+t as (select dst as anchor, src as file_id, 1 as depth from e where dst = 17 union select t.anchor, e.src, t.depth + 1 from t join e on e.dst = t.file_id where t.depth < 6)
 select anchor, file_id, min(depth) as depth from t where file_id <> anchor group by anchor, file_id""")
-def impact_d2(w):
-    return graph.impact(w.imports, w.calls, w.functions, w.files, 2)
+def impact_d6(w):
+    """Of one target, as it is asked for."""
+    return graph.impact(w.imports, w.calls, w.functions, w.files.filter("file_id = 17"), 6)
 
 
 @query("""with recursive t as (select dst as anchor, src as fn, 1 as depth from w_calls union all select t.anchor, c.src, t.depth + 1 from t join w_calls c on c.dst = t.fn where t.depth < 5)
@@ -185,7 +186,10 @@ def siblings(w):
 # --- risk ------------------------------------------------------------------------------------------------------------
 
 RANKS = "case severity when 'Low' then 1 when 'Medium' then 2 when 'High' then 3 when 'Critical' then 4 else 0 end"
-MODES = "case " + " ".join(f"when starts_with(rule_id, '{p}') then '{m}'" for p, m in risk.FAILURE_MODES) + " end"
+MODES = r"""case when regexp_matches(rule_id, '^(python\.(http|db|asyncio)\.missing_timeout|python\.sqlalchemy\.missing_query_timeout|python\.fastapi\.missing_request_timeout|go\.http_missing_timeout|go\.nethttp\.(server|handler)_missing_timeout|go\.frameworks\.gorm\.query_timeout|go\.frameworks\.grpc\.missing_deadline|typescript\.http_missing_timeout|rust\.grpc_no_deadline)') then 'SlowDeath'
+ when regexp_matches(rule_id, '^((python|go|typescript|rust)\.unbounded_retry|(python|typescript)\.http\.missing_retry|go\.http_retry)') then 'RetryStorm'
+ when regexp_matches(rule_id, '^(rust\.(blocking_in_async|uncancelled_tasks)|go\.(goroutine_leak|channel_never_closed))') then 'ZombieProcess'
+ when regexp_matches(rule_id, '^((python|go|typescript|rust)\.missing_circuit_breaker|(python|typescript)\.http\.missing_circuit_breaker|(go|rust)\.http_missing_circuit_breaker)') then 'Cascade' end"""
 
 
 @query("""with d as (select f.path, coalesce(a.n, 0)::double as i, coalesce(b.n, 0)::double as r, coalesce(c.n, 0)::double as g from w_files f left join (select dst, count(*) as n from w_imports group by dst) a on a.dst = f.file_id
@@ -203,21 +207,21 @@ def failure_modes(w):
 
 
 BLAST = """e as (select distinct src as file_id from w_imports where src not in (select dst from w_imports)),
-t as (select file_id as anchor, file_id as node, 0 as depth from w_files union all select t.anchor, i.src, t.depth + 1 from t join w_imports i on i.dst = t.node where t.depth < 3),
+t as (select file_id as anchor, file_id as node, 0 as depth from w_files union select t.anchor, i.src, t.depth + 1 from t join w_imports i on i.dst = t.node where t.depth < 6),
 d as (select distinct anchor, node from t),
 b as (select d.anchor as file_id, count(*) filter (where d.node <> d.anchor) as affected, count(e.file_id) as entries from d left join e on e.file_id = d.node group by d.anchor)"""
 
 
 @query(f"with recursive {BLAST} select file_id, affected, entries from b")
-def blast_radius_d3(w):
-    return risk.blast_radius(w.imports, w.files, risk.entrypoints(w.files, w.imports), 3)
+def blast_radius_d6(w):
+    return risk.blast_radius(w.imports, w.files, risk.entrypoints(w.files, w.imports), 6)
 
 
 @query(f"""with recursive {BLAST}, g as (select *, {MODES} as mode from w_findings), h as (select *, row_number() over (partition by mode, file_id order by finding_no) as n from g where mode is not null)
 select mode, path, rule_id, affected, entries, case greatest({RANKS}, case when entries > 0 and affected > 3 then 4 when entries > 0 then 3 when affected > 3 then 2 else 0 end)
  when 1 then 'Low' when 2 then 'Medium' when 3 then 'High' when 4 then 'Critical' else 'Info' end as severity from h join b on b.file_id = h.file_id join w_files f on f.file_id = h.file_id where n = 1""")
 def hazards(w):
-    return risk.hazards(w.findings, w.imports, w.files, 3)
+    return risk.hazards(w.findings, w.imports, w.files, 6)
 
 
 @query("select severity, count(*) as n from w_findings group by severity")
@@ -236,13 +240,13 @@ def changed_findings(w):
 
 
 @query("""with recursive a as (select f.file_id as node, 1 as priority, f.path as name from w_files f where f.file_id in (select src from w_imports) and f.file_id not in (select dst from w_imports)),
-t as (select distinct file_id as start, file_id as node, 0 as hops, 1.0::double as nofail from w_findings union all select distinct t.start, i.src, t.hops + 1, t.nofail * 0.5::double from t join w_imports i on i.dst = t.node where t.hops < 3),
+t as (select distinct file_id as start, file_id as node, 0 as hops, 1.0::double as nofail from w_findings union select t.start, i.src, t.hops + 1, t.nofail * 0.5::double from t join w_imports i on i.dst = t.node),
 s as (select start, node, min(hops) as hops from t group by start, node),
 b as (select start, min(struct_pack(p := priority, h := hops, n := name)) as b from s join a on a.node = s.node group by start)
 select g.file_id, b.b.n as anchor, coalesce(b.b.h, 0) as hops, round(coalesce((1 - pow(0.5::double, b.b.h)) * 100, 0), 6) as risk from (select distinct file_id from w_findings) g left join b on b.start = g.file_id""")
 def propagation(w):
     anchors = risk.entrypoints(w.files, w.imports).join(w.files, "file_id").select(F.col("file_id").alias("node"), F.lit(1).alias("priority"), F.col("path").alias("name"))
-    return risk.propagation(w.findings.select("file_id").distinct(), w.imports.withColumn("kind", F.lit("Imports")), anchors, 3)
+    return risk.propagation(w.findings.select("file_id").distinct(), w.imports.withColumn("kind", F.lit("Imports")), anchors)
 
 
 # --- objectives and traces ---------------------------------------------------------------------------------------------
@@ -306,7 +310,7 @@ def slo_service_level(w):
 DB = "'session.commit', 'session.execute', 'cursor.fetchone', 'db.session.query', 'User.objects.filter'"
 HTTP = "'requests.get', 'httpx.post', 'http.Get', 'fetch', 'axios.get'"
 ROLE = f"case when callee in ({DB}) then 'db' when callee in ({HTTP}) then 'http_client' else 'logic' end"
-BOUNDS = f"""t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union all select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 3),
+BOUNDS = f"""t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 10),
 b as (select distinct t.anchor, s.fn_id, s.file_id, s.line, s.callee, {ROLE} as role from (select distinct anchor, fn from t) t join w_sites s on s.fn_id = t.fn where {ROLE} <> 'logic'),
 seen as (select file_id from w_sites where callee = 'tracer.start_as_current_span' union select u.src from w_uses u join w_libs l on l.lib_id = u.lib_id where l.category = 'Observability')"""
 
@@ -424,10 +428,18 @@ def settings_filter(w):
     return findings.apply_settings(w.findings, ["go.*", "python.http.*"], ["rust.*"], {"go.goroutine_leak": "Low"}).select("finding_no", "rule_id", "severity")
 
 
-@query("""select f.path, f.language, false as excluded, false as is_test from w_files f""")
+#: Folders and names by a part's number, so that discovery meets every kind of path.
+PLACES = """select file_id, concat(case file_id % 12 when 0 then 'target/' when 1 then 'a/node_modules/' when 2 then '.venv/lib/' when 3 then 'dist/' when 4 then 'build/' when 5 then '.pytest_cache/' when 6 then 'x/.ruff_cache/' when 7 then '.gocache/' when 8 then 'src/tests/' when 9 then 'a/__tests__/' else 'src/' end,
+ case file_id % 5 when 0 then 'test_a' when 1 then 'a_test' when 2 then 'a.spec' when 3 then 'conftest' else 'latest' end, case file_id % 4 when 0 then '.py' when 1 then '.go' when 2 then '.rs' else '.ts' end) as path from w_files"""
+
+
+@query(f"""with p as ({PLACES}) select path, case right(path, 3) when '.py' then 'python' when '.go' then 'go' when '.rs' then 'rust' else 'typescript' end as language,
+ regexp_matches(path, '(^|/)(target|node_modules|[.]venv|venv|__pycache__|[.]mypy_cache|[.]pytest_cache|[.]ruff_cache|[.]tox|[.]gocache)/') as excluded,
+ regexp_matches(path, '(^|/)(tests|test|__tests__)/') or (path like '%.py' and regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test|[^/]*_tests|conftest)[.]py$')) or (path like '%.go' and path like '%\\_test.go' escape '\\')
+ or (path like '%.rs' and regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test)[.]rs$')) or (path like '%.ts' and regexp_matches(path, '[.](test|spec)[.]ts$')) as is_test, count(*) as n from p group by path""")
 def file_discovery(w):
-    p = F.col("path")
-    return w.files.select("path", C.language_of(p).alias("language"), C.excluded(p).alias("excluded"), C.is_test_file(p, C.language_of(p)).alias("is_test"))
+    p, places = F.col("path"), w.sql(PLACES).groupBy("path").agg(F.count("*").alias("n"))
+    return places.select("path", C.language_of(p).alias("language"), C.excluded(p).alias("excluded"), C.is_test_file(p, C.language_of(p)).alias("is_test"), "n")
 
 
 @query("select module, count(*) as n, string_split_regex(module, '[./]')[1] as package from f_imports group by module")
@@ -435,16 +447,16 @@ def packages(w):
     return w.view("f_imports").groupBy("module").agg(F.count("*").alias("n")).withColumn("package", C.package_name(F.col("module")))
 
 
-@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions union all select t.anchor, c.src, t.depth + 1 from t join w_calls c on c.dst = t.fn where t.depth < 4)
+@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions union select t.anchor, c.src, t.depth + 1 from t join w_calls c on c.dst = t.fn where t.depth < 10)
 select distinct t.anchor, f.http_method, f.http_path from t join w_functions f on f.fn_id = t.fn where f.is_handler""")
 def fault_routes(w):
-    return faults.fault_routes(w.calls, w.functions, w.functions, 4)
+    return faults.fault_routes(w.calls, w.functions, w.functions)
 
 
-@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union all select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 3)
+@query("""with recursive t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 10)
 select distinct t.anchor, l.category, l.name as upstream from t join w_functions f on f.fn_id = t.fn join w_uses u on u.src = f.file_id join w_libs l on l.lib_id = u.lib_id where l.category in ('HttpClient', 'Database')""")
 def fault_egress(w):
-    return faults.egress_targets(w.calls, w.functions, w.uses, w.libs, w.functions.filter("is_handler"), 3)
+    return faults.egress_targets(w.calls, w.functions, w.uses, w.libs, w.functions.filter("is_handler"))
 
 
 @query("""select time_bucket(interval '5 minutes', start_time) as start, time_bucket(interval '5 minutes', start_time) + interval '5 minutes' as "end", service, count(*) as n, round(sum(latency_ms), 4) as total_ms, max(latency_ms) as max_ms
@@ -453,11 +465,15 @@ def remote_windows(w):
     return windows_of(w.spans).withColumn("total_ms", F.round("total_ms", 4))
 
 
-@query("select term, meaning from (values " + ", ".join(f"('{t}', '{m}')" for t, m in risk.GLOSSARY) + ") as v(term, meaning)")
+@query("select 'SLO-00' || i as id, name from (values (1, 'The Slow Death'), (2, 'The Retry Storm'), (3, 'The Zombie Process'), (4, 'The Thundering Herd'), (5, 'The Blackhole'), (6, 'The Cascade')) as v(i, name)")
 def glossary(w):
-    return risk.glossary(w.spark)
+    return risk.glossary(w.spark).select("id", "name")
 
 
-@query("select kind, flag, value from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in faults.TEMPLATES) + ") as v(kind, flag, value)")
+@query("""with a as (select unnest(['latency-normal', 'latency-pareto', 'latency-window', 'bandwidth-48k-latency', 'mobile-3g']) as template, 'latency' as fault), b as (select unnest(['jitter-light', 'jitter-bidirectional', 'mobile-3g']) as template, 'jitter' as fault),
+c as (select unnest(['bandwidth-64k', 'bandwidth-48k-latency', 'mobile-3g']) as template, 'bandwidth' as fault), d as (select unnest(['packet-loss', 'packet-loss-burst']) as template, 'packet-loss' as fault), e as (select unnest(['blackhole', 'blackhole-window']) as template, 'blackhole' as fault)
+select *, template in ('latency-window', 'packet-loss-burst', 'blackhole-window') as scheduled from (select * from a union all select * from b union all select * from c union all select * from d union all select * from e)""")
 def fault_templates(w):
-    return faults.templates(w.spark)
+    t = faults.templates(w.spark)
+    with_fault = F.explode(F.transform(F.filter("flags", lambda x: x.startswith("--with-")), lambda x: F.substring(x, 8, 100))).alias("fault")
+    return t.select("template", with_fault, F.exists("flags", lambda x: x.contains("-sched ")).alias("scheduled"))

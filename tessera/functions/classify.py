@@ -25,7 +25,7 @@ def any_start(c: Column, starts) -> Column:
 
 
 #: Directories that discovery drops.
-EXCLUDED_DIRS = (".git", ".venv", "venv", "node_modules", "target", "__pycache__", "dist", "build", ".tox", ".mypy_cache")
+EXCLUDED_DIRS = ("target", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".gocache")
 LANGUAGES = {"py": "python", "go": "go", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript"}
 
 
@@ -42,9 +42,9 @@ def is_test_file(path: Column, language: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     dirs = F.arrays_overlap(F.split(path, "/"), F.array(F.lit("tests"), F.lit("test"), F.lit("__tests__")))
     by_name = (
-        F.when(language == "python", name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py"))
+        F.when(language == "python", name.startswith("test_") | name.endswith("_test.py") | name.endswith("_tests.py") | (name == "conftest.py"))
         .when(language == "go", name.endswith("_test.go"))
-        .when(language == "rust", name.endswith("_test.rs") | (name == "tests.rs"))
+        .when(language == "rust", name.startswith("test_") | name.endswith("_test.rs"))
         .when(language == "typescript", name.rlike(r"\.(test|spec)\.[jt]sx?$"))
         .otherwise(False)
     )
@@ -55,18 +55,24 @@ def package_name(module: Column) -> Column:
     return F.element_at(F.split(module, r"[./]"), 1)
 
 
+#: Of each category, in order, what a lower-case module name holds, is, or begins with.
+CATEGORIES = (
+    ("Observability", ("opentelemetry", "open_telemetry", "ddtrace", "datadog_lambda", "sentry_sdk", "sentry-sdk", "opentracing", "jaeger", "zipkin", "aws_xray", "aws-xray"), ("sentry", "otel"), ("sentry.", "otel.")),
+    ("Logging", ("structlog", "uber.org/zap", "zerolog"), ("logging", "tracing", "winston", "pino"), ("logging.", "tracing::")),
+    ("HttpClient", ("requests", "httpx", "aiohttp", "urllib", "axios", "fetch", "got", "reqwest", "hyper"), (), ()),
+    ("Database", ("sqlalchemy", "prisma", "typeorm", "sequelize", "diesel", "sqlx", "gorm", "database/sql"), (), ()),
+    ("WebFramework", ("fastapi", "flask", "django", "express", "nestjs", "gin", "echo", "chi", "axum", "actix"), (), ()),
+    ("AsyncRuntime", ("asyncio", "tokio", "async_std"), (), ()),
+    ("Resilience", ("tenacity", "stamina", "retry", "backoff", "resilience"), (), ()),
+)
+#: What a module of a standard library begins with, as written.
+STANDARD = ("os", "sys", "io", "time", "json", "re", "collections", "typing", "pathlib", "fmt", "net/", "std::")
+
+
 def module_category(name: Column) -> Column:
     n = F.lower(name)
-    return first_of([
-        (any_in(n, ("requests", "httpx", "aiohttp", "axios", "reqwest", "fetch", "got")), "HttpClient"),
-        (any_in(n, ("sqlalchemy", "psycopg", "pymongo", "gorm", "diesel", "sqlx", "prisma", "typeorm")), "Database"),
-        (any_in(n, ("fastapi", "flask", "django", "express", "gin", "echo", "axum", "actix")), "WebFramework"),
-        (any_in(n, ("celery", "kafka", "rabbit", "rq")), "TaskQueue"),
-        (any_in(n, ("redis", "memcache")), "Cache"),
-        (any_in(n, ("structlog", "logging", "zap", "logrus", "winston", "pino", "tracing")), "Logging"),
-        (any_in(n, ("opentelemetry", "datadog", "ddtrace", "prometheus", "sentry")), "Observability"),
-        (any_in(n, ("pytest", "unittest", "jest", "mocha")), "Testing"),
-    ], "Other")
+    rules = [(any_in(n, holds) if not equal else any_in(n, holds) | n.isin(*equal) | any_start(n, begins), category) for category, holds, equal, begins in CATEGORIES]
+    return first_of([*rules, (any_start(name, STANDARD), "StandardLib")], "Other")
 
 
 def decorator_role(text: Column) -> Column:
@@ -85,9 +91,17 @@ def decorator_role(text: Column) -> Column:
     ], "Other")
 
 
-def caller_kind(name: Column) -> Column:
-    n = F.lower(name)
-    return first_of([(any_in(n, ("create_app", "app_factory", "make_app")), "app_factory"), (any_in(n, ("register", "setup", "configure", "init", "wire")), "wiring"), (any_in(n, ("main", "run", "serve", "start")), "entrypoint")], "business")
+#: Parts of names that make or register an application; ends and parts of paths that start one.
+FACTORIES = ("create_app", "create_server", "make_app", "build_app", "init_app")
+WIRING = ("register_blueprint", "include_router", "add_url_rule", "mount")
+START_FILES, START_PARTS = ("__init__.py", "app.py", "main.py", "wsgi.py"), ("/bootstrap/", "/components_config", "_config.py")
+
+
+def caller_kind(name: Column, path: Column | None = None) -> Column:
+    """By the function's name, else by its file's path where known."""
+    n, p = F.lower(name), F.lower(F.coalesce(path if path is not None else F.lit(""), F.lit("")))
+    starts = any_end(p, START_FILES) | any_in(p, START_PARTS)
+    return first_of([(any_in(n, FACTORIES), "app_factory"), (any_in(n, WIRING), "wiring"), (starts, "entrypoint")], "business")
 
 
 def callee_name(expr: Column) -> Column:

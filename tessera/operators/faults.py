@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from ..plans.traverse import bfs
 
-#: Fault kind, flag and default of the templates.
+#: The templates and their flags; {direction} is filled in by the caller.
 TEMPLATES = (
-    ("latency", "delay_ms", "500"), ("latency", "jitter_ms", "100"), ("error", "status", "500"), ("error", "rate", "0.1"), ("abort", "reset", "true"), ("timeout", "after_ms", "30000"),
-    ("bandwidth", "kbps", "64"), ("packet_loss", "rate", "0.05"), ("dns", "fail", "true"), ("cpu", "load", "0.9"), ("memory", "mb", "512"), ("disk", "full", "true"),
-)
+    ("latency-normal", ("--with-latency", "--latency-direction {direction}", "--latency-distribution normal", "--latency-mean 350", "--latency-stddev 50")),
+    ("latency-pareto", ("--with-latency", "--latency-direction {direction}", "--latency-distribution pareto", "--latency-shape 1.5", "--latency-scale 20")),
+    ("latency-window", ("--with-latency", "--latency-direction {direction}", "--latency-distribution normal", "--latency-mean 500", "--latency-stddev 100", '--latency-sched "start:25%,duration:50%"')),
+    ("jitter-light", ("--with-jitter", "--jitter-amplitude 30", "--jitter-frequency 5")),
+    ("jitter-bidirectional", ("--with-jitter", "--jitter-amplitude 30", "--jitter-frequency 8", "--jitter-direction both")),
+    ("bandwidth-64k", ("--with-bandwidth", "--bandwidth-rate 64", "--bandwidth-unit KBps", "--bandwidth-direction ingress")),
+    ("bandwidth-48k-latency", ("--with-bandwidth", "--bandwidth-rate 48", "--bandwidth-unit KBps", "--with-latency", "--latency-direction both", "--latency-distribution normal", "--latency-mean 200", "--latency-stddev 20")),
+    ("mobile-3g", ("--with-bandwidth", "--bandwidth-rate 48", "--bandwidth-unit KBps", "--with-latency", "--latency-direction both", "--latency-distribution normal", "--latency-mean 200", "--latency-stddev 20", "--with-jitter", "--jitter-amplitude 30", "--jitter-frequency 5")),
+    ("packet-loss", ("--with-packet-loss", "--packet-loss-direction {direction}")),
+    ("packet-loss-burst", ("--with-packet-loss", "--packet-loss-direction {direction}", '--packet-loss-sched "start:25%,duration:50%"')),
+    ("blackhole", ("--with-blackhole", "--blackhole-direction {direction}")),
+    ("blackhole-window", ("--with-blackhole", "--blackhole-direction {direction}", '--blackhole-sched "start:25%,duration:50%"')),
+)
 
 
 def fault_routes(calls: DataFrame, functions: DataFrame, seeds: DataFrame, depth: int = 10) -> DataFrame:
@@ -29,5 +39,7 @@ def egress_targets(calls: DataFrame, functions: DataFrame, uses: DataFrame, libs
     return files.join(out, "file_id").select("anchor", "category", "upstream").distinct()
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "kind string, flag string, value string")
+def templates(spark: SparkSession, direction: str = "ingress") -> DataFrame:
+    """(template, flags)."""
+    rows = [(name, [f.replace("{direction}", direction) for f in flags]) for name, flags in TEMPLATES]
+    return spark.createDataFrame(rows, "template string, flags array<string>")

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.traverse import bfs
 
-#: Rule id prefix to failure mode, in order; and the weights of edges, as the chance that a failure passes.
-FAILURE_MODES = (
-    ("go.goroutine_leak", "ZombieProcess"), ("go.unbounded_goroutines", "ZombieProcess"),
-    ("python.http.missing_retry", "RetryStorm"), ("python.unbounded_retry", "RetryStorm"),
-    ("python.http.missing_timeout", "SlowDeath"), ("typescript.n_plus_one_queries", "SlowDeath"), ("python.n_plus_one", "SlowDeath"),
-    ("rust.unsafe_unwrap", "Cascade"), ("go.panic_in_library", "Cascade"),
-)
+#: Rule id prefixes of each failure mode, in order.
+FAILURE_MODES = {
+    "SlowDeath": (
+        "python.http.missing_timeout", "python.db.missing_timeout", "python.asyncio.missing_timeout", "python.sqlalchemy.missing_query_timeout",
+        "python.fastapi.missing_request_timeout", "go.http_missing_timeout", "go.nethttp.server_missing_timeout", "go.nethttp.handler_missing_timeout",
+        "go.frameworks.gorm.query_timeout", "go.frameworks.grpc.missing_deadline", "typescript.http_missing_timeout", "rust.grpc_no_deadline",
+    ),
+    "RetryStorm": (
+        "python.unbounded_retry", "python.http.missing_retry", "go.unbounded_retry", "go.http_retry", "typescript.unbounded_retry",
+        "typescript.http.missing_retry", "rust.unbounded_retry",
+    ),
+    "ZombieProcess": ("rust.blocking_in_async", "go.goroutine_leak", "go.channel_never_closed", "rust.uncancelled_tasks"),
+    "Cascade": (
+        "python.missing_circuit_breaker", "python.http.missing_circuit_breaker", "go.missing_circuit_breaker", "go.http_missing_circuit_breaker",
+        "typescript.missing_circuit_breaker", "typescript.http.missing_circuit_breaker", "rust.missing_circuit_breaker", "rust.http_missing_circuit_breaker",
+    ),
+}
+#: The weights of edges, as the chance that a failure passes.
 WEIGHTS = {"Calls": 0.8, "Imports": 0.5, "RemoteCall": 0.9, "MonitoredBy": 1.0, "Contains": 0.0}
 RANKS = {"Info": 0, "Low": 1, "Medium": 2, "High": 3, "Critical": 4}
 
@@ -28,10 +41,10 @@ def severity_name(rank):
 
 def rank_files(files: DataFrame, imports: DataFrame, uses: DataFrame, libs: DataFrame, findings: DataFrame, limit: int, risky=("Database", "HttpClient")) -> DataFrame:
     """Files by half the share of importers, three tenths of risky libraries and a fifth of findings; ties by path."""
-    count = lambda df, key, name: df.groupBy(F.col(key).alias("file_id")).agg(F.count("*").alias(name))
+    counted = lambda df, key, name: df.groupBy(F.col(key).alias("file_id")).agg(F.count("*").alias(name))
     risk = uses.join(libs.filter(F.col("category").isin(*risky)).select("lib_id"), "lib_id")
     d = files.select("file_id", "path")
-    for part in (count(imports, "dst", "i"), count(risk, "src", "r"), count(findings, "file_id", "f")):
+    for part in (counted(imports, "dst", "i"), counted(risk, "src", "r"), counted(findings, "file_id", "f")):
         d = d.join(part, "file_id", "left")
     d = d.na.fill(0, ["i", "r", "f"])
     top = d.agg(*[F.greatest(F.max(c), F.lit(1)).cast("double").alias(f"max_{c}") for c in "irf"])
@@ -41,7 +54,7 @@ def rank_files(files: DataFrame, imports: DataFrame, uses: DataFrame, libs: Data
 
 def failure_modes(findings: DataFrame) -> DataFrame:
     """Findings with their failure mode: the first prefix that their rule begins with; those of none are left out."""
-    mode = F.coalesce(*[F.when(F.col("rule_id").startswith(p), m) for p, m in FAILURE_MODES])
+    mode = F.coalesce(*[F.when(F.col("rule_id").startswith(p), m) for m, prefixes in FAILURE_MODES.items() for p in prefixes])
     return findings.withColumn("mode", mode).filter("mode is not null")
 
 
@@ -62,7 +75,7 @@ def effective_severity(rank, entries, affected):
     return F.greatest(rank, F.when((entries > 0) & (affected > 3), 4).when(entries > 0, 3).when(affected > 3, 2).otherwise(0))
 
 
-def hazards(findings: DataFrame, imports: DataFrame, files: DataFrame, depth: int = 4) -> DataFrame:
+def hazards(findings: DataFrame, imports: DataFrame, files: DataFrame, depth: int = 6) -> DataFrame:
     """One row per failure mode and file, from its first finding: mode, path, rule_id, severity, affected, entries."""
     first = Window.partitionBy("mode", "file_id").orderBy("finding_no")
     f = failure_modes(findings).withColumn("n", F.row_number().over(first)).filter("n = 1")
@@ -86,20 +99,22 @@ def changed_findings(findings: DataFrame, files: DataFrame, changed, limit: int
     return f.orderBy(F.desc("rank"), "path", "line", "rule_id", "finding_no").limit(limit).select("path", "line", "rule_id", "severity", "finding_no")
 
 
-def propagation(findings_files: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int = 5) -> DataFrame:
+def propagation(findings_files: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int | None = None) -> DataFrame:
     """(file_id, anchor, hops, risk): how likely a failure in a file reaches its best anchor, in percent.
 
     edges: (src, dst, kind), followed from ``dst`` to ``src``: who depends on what fails. A path's risk is one less the
     product of (1 - weight) over its edges. anchors: (node, priority, name); the lowest priority wins, then fewest hops,
     least chance of not failing, smallest name. Of paths of the same length, the one with the least such chance counts. Without an
-    anchor, risk is 0.
+    anchor, risk is 0. The walk ends where nothing new is reached, or after ``depth`` hops.
     """
     weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()])
     hop = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), (1 - weight).alias("keep")).groupBy("at", "to").agg(F.min("keep").alias("keep"))
     from ..plans.traverse import cut
 
     seen = frontier = cut(findings_files.select(F.col("file_id").alias("start"), F.col("file_id").alias("node"), F.lit(0).alias("hops"), F.lit(1.0).alias("nofail")))
-    for k in range(1, depth + 1):
+    for k in count(1):
+        if depth is not None and k > depth:
+            break
         step = frontier.join(hop, frontier["node"] == hop["at"]).groupBy("start", "to").agg(F.min(F.col("nofail") * F.col("keep")).alias("nofail"))
         new = step.select("start", F.col("to").alias("node"), F.lit(k).alias("hops"), "nofail").join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = cut(new)
@@ -111,16 +126,16 @@ def propagation(findings_files: DataFrame, edges: DataFrame, anchors: DataFrame,
     return out.select("file_id", F.col("b.name").alias("anchor"), F.coalesce("b.hops", F.lit(0)).alias("hops"), F.round(F.coalesce((1 - F.col("b.nofail")) * 100, F.lit(0.0)), 6).alias("risk"))
 
 
-#: Terms of the glossary.
+#: Ids and names of the glossary; the meanings are our own words.
 GLOSSARY = (
-    ("SlowDeath", "Calls without a limit pile up until nothing is left to serve with."),
-    ("RetryStorm", "Clients repeat failed calls and keep a service down."),
-    ("ZombieProcess", "Work that nobody waits for any more holds memory and handles."),
-    ("Cascade", "A failure passes to the services that depend on the failed one."),
-    ("ThunderingHerd", "Many clients wake at once and ask for the same thing."),
-    ("Blackhole", "Requests go in and no answer comes out."),
+    ("SLO-001", "The Slow Death", "Calls without a limit pile up until nothing is left to serve with."),
+    ("SLO-002", "The Retry Storm", "Clients repeat failed calls and keep a service down."),
+    ("SLO-003", "The Zombie Process", "Work that nobody waits for any more holds memory and handles."),
+    ("SLO-004", "The Thundering Herd", "Many clients wake at once and ask for the same thing."),
+    ("SLO-005", "The Blackhole", "Requests go in and no answer comes out."),
+    ("SLO-006", "The Cascade", "A failure passes to the services that depend on the failed one."),
 )
 
 
 def glossary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GLOSSARY, "term string, meaning string")
+    return spark.createDataFrame(GLOSSARY, "id string, name string, meaning string")

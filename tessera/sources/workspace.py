@@ -19,9 +19,9 @@ VIEWS = {
  case p_partkey % 4 when 0 then 'python' when 1 then 'go' when 2 then 'rust' else 'typescript' end as language from part""",
     "w_libs": """select s_suppkey as lib_id, concat('lib_', cast(s_suppkey as varchar(20))) as name,
  case s_nationkey % 5 when 0 then 'HttpClient' when 1 then 'Database' when 2 then 'Logging' when 3 then 'Observability' else 'Other' end as category from supplier""",
-    "w_imports": """select distinct l_partkey as src, cast((l_orderkey*7 + l_linenumber*13) % (select count(*) from part) as bigint) as dst from lineitem
- where l_orderkey % 8 = 0 and l_partkey <> (l_orderkey*7 + l_linenumber*13) % (select count(*) from part)""",
-    "w_uses": "select distinct l_partkey as src, l_suppkey as lib_id from lineitem where l_orderkey % 8 = 1",
+    "w_imports": """select distinct l_partkey as src, (l_linenumber % 2 + 1) * 1000003 % (l_partkey + 1) as dst from lineitem
+ where l_partkey <> (l_linenumber % 2 + 1) * 1000003 % (l_partkey + 1)""",
+    "w_uses": "select distinct l_partkey as src, l_suppkey as lib_id from lineitem",
     "w_functions": """select o_orderkey as fn_id, cast(o_orderkey % (select count(*) from part) as bigint) as file_id, concat('fn_', cast(o_orderkey as varchar(20))) as name,
  o_orderpriority = '1-URGENT' as is_handler, case o_orderstatus when 'O' then 'GET' when 'F' then 'POST' else 'DELETE' end as http_method,
  concat('/api/v', cast(o_orderkey % 3 as varchar(20)), '/r', cast(o_custkey % 50 as varchar(20)), '/{id}') as http_path from orders""",

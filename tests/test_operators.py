@@ -73,7 +73,9 @@ def test_classifiers(spark):
     assert one(spark, C.module_category(F.lit("opentelemetry.sdk"))) == "Observability"
     assert one(spark, C.module_category(F.lit("pytest-httpx"))) == "HttpClient"  # the order decides, not the meaning
     assert one(spark, C.decorator_role(F.lit("@app.get('/x')"))) == "Route"
-    assert one(spark, C.caller_kind(F.lit("register_routes"))) == "wiring"
+    assert one(spark, C.caller_kind(F.lit("register_blueprint_x"))) == "wiring"
+    assert one(spark, C.caller_kind(F.lit("prune_cache"))) == "business" and one(spark, C.caller_kind(F.lit("f"), F.lit("src/Main.py"))) == "entrypoint"
+    assert one(spark, C.module_category(F.lit("opentelemetry-instrumentation-requests"))) == "Observability" and one(spark, C.module_category(F.lit("net/http"))) == "StandardLib"
     assert one(spark, C.language_of(F.lit("a/b.tsx"))) == "typescript"
     assert one(spark, C.is_test_file(F.lit("a/test_x.py"), F.lit("python"))) is True
     assert one(spark, C.excluded(F.lit("a/node_modules/x.js"))) is True
