@@ -310,13 +310,13 @@ def slo_service_level(w):
 DB = "'session.commit', 'session.execute', 'cursor.fetchone', 'db.session.query', 'User.objects.filter'"
 HTTP = "'requests.get', 'httpx.post', 'http.Get', 'fetch', 'axios.get'"
 ROLE = f"case when callee in ({DB}) then 'db' when callee in ({HTTP}) then 'http_client' else 'logic' end"
-BOUNDS = f"""t as (select fn_id as anchor, fn_id as fn, 0 as depth from w_functions where is_handler union select t.anchor, c.dst, t.depth + 1 from t join w_calls c on c.src = t.fn where t.depth < 10),
+BOUNDS = f"""t as (select fn_id as anchor, fn_id as fn from w_functions where is_handler union select t.anchor, c.dst from t join w_calls c on c.src = t.fn),
 b as (select distinct t.anchor, s.fn_id, s.file_id, s.line, s.callee, {ROLE} as role from (select distinct anchor, fn from t) t join w_sites s on s.fn_id = t.fn where {ROLE} <> 'logic'),
 seen as (select file_id from w_sites where callee = 'tracer.start_as_current_span' union select u.src from w_uses u join w_libs l on l.lib_id = u.lib_id where l.category = 'Observability')"""
 
 
 def _bounds(w):
-    return coverage.boundaries(w.functions, w.calls, w.sites, 3), coverage.instrumented(w.sites, w.uses, w.libs)
+    return coverage.boundaries(w.functions, w.calls, w.sites), coverage.instrumented(w.sites, w.uses, w.libs)
 
 
 @query(f"with recursive {BOUNDS} select role, count(*) as boundaries, count(*) filter (where file_id in (select file_id from seen)) as observed from (select distinct file_id, line, callee, role from b) group by role")

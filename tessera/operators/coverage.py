@@ -29,10 +29,13 @@ def instrumented(sites: DataFrame, uses: DataFrame, libs: DataFrame) -> DataFram
     return own.unionByName(lib).distinct()
 
 
-def boundaries(functions: DataFrame, calls: DataFrame, sites: DataFrame, depth: int = 3) -> DataFrame:
-    """(anchor, fn_id, depth, file_id, line, callee, role, statement): boundary calls under each handler, by one traversal."""
+def boundaries(functions: DataFrame, calls: DataFrame, sites: DataFrame, depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
+    """(anchor, fn_id, depth, file_id, line, callee, role, statement): boundary calls under each handler, by one traversal.
+
+    The walk ends at functions in ``stop`` (node), those that are a library's boundary themselves, and after ``depth`` calls if given.
+    """
     h = functions.filter("is_handler").select(F.col("fn_id").alias("anchor"), F.col("fn_id").alias("node"))
-    walk = bfs(h, calls, depth).select("anchor", F.col("node").alias("fn_id"), "depth")
+    walk = bfs(h, calls, depth, stop=stop).select("anchor", F.col("node").alias("fn_id"), "depth")
     edge = sites_with_roles(sites).filter("role <> 'logic'").select("fn_id", "file_id", "line", "callee", "role", "statement")
     return walk.join(edge, "fn_id")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def cut(df: DataFrame, name: str = "hop") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, reverse: bool = False, stop: DataFrame | None = None, keep_path: bool = False) -> DataFrame:
-    """(anchor, node, depth[, parent, path]) for each node within ``max_depth`` hops of each anchor, at its least depth.
+def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None, reverse: bool = False, stop: DataFrame | None = None, keep_path: bool = False) -> DataFrame:
+    """(anchor, node, depth[, parent, path]) for each node within ``max_depth`` hops (any number for None) of each anchor, at its least depth.
 
     seeds: (anchor, node), depth 0. edges: (src, dst), followed backwards with ``reverse``. Nodes in ``stop`` (node) are
     reached but not left. Of arrivals at the same depth, the one from the smallest parent counts. Null ends are never
@@ -38,7 +39,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, reverse: bool = Fals
     if keep_path:
         base = base.withColumn("path", F.array("node"))
     seen = frontier = cut(base)
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         leaving = frontier.join(stop.select("node"), "node", "left_anti") if stop is not None else frontier
         step = leaving.join(hop, leaving["node"] == hop["at"])
         value = F.struct(F.col("node").alias("parent"), *([F.col("path")] if keep_path else []))
