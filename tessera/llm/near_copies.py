@@ -34,6 +34,8 @@ from .token_files import mix
 WORDS, TENTHS, RADIUS, WIDE = 5, 8, 24, 72
 #: Documents of an uncommon shingle at most; members compared in one task, pivots among them; cells of a matrix.
 COMMON, PART, PIVOTS, CELLS = 128, 1024, 16, 1 << 23
+#: 64-bit keys or hashes that are broadcast at most (1 MiB of them); more are joined by a shuffle.
+FEW = 1 << 17
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -99,6 +101,11 @@ def _signatures(whole: bool):
     return run
 
 
+def _few(longs: DataFrame, few: int = FEW) -> DataFrame:
+    """``longs``, a written table of one column of 64-bit numbers, to be broadcast if it has no more than ``few`` rows."""
+    return F.broadcast(longs) if longs.count() <= few else longs
+
+
 SIGNATURE = "key long, n int, fp long, w1 long, w2 long, w3 long, grams array<long>"
 PRINT = ["fp", "n", "w1", "w2", "w3"]
 
@@ -152,7 +159,7 @@ def _units(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("unit", "role", "key", "grams").repartition("unit").sortWithinPartitions("unit"), _compare, "a long, b long")
 
 
-def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int = SHARD_ROWS, few: int = FEW) -> DataFrame:
     """(key, grp): the group of each key of ``sig`` that may have a near copy.
 
     ``whole_sets`` gives (key, grams), whole, of the keys of a table; only documents whose uncommon shingles are few
@@ -160,9 +167,11 @@ def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int
     """
     need = F.expr(f"n + cast(floor(n * -{TENTHS} / 10) as int) + 1")
     known = sig.select("key", "n", need.alias("need"), F.size("grams").alias("stored"))
+    known = sig.select("key", "n", need.alias("need"), F.size("grams").alias("stored"))
     given, extended = sig.select("key", F.explode(F.slice("grams", 1, need)).alias("gram")), None
+    met = lambda df: df.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1")
+    counts = stage(met(given), "shared")
     while True:
-        counts = stage(given.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1"), "shared")
         often = stage(counts.filter(F.col("met") > common).select("gram"), "often")
         hot = given.join(often, "gram", "left_semi").groupBy("key").agg(F.count("*").cast("int").alias("hot")).join(known, "key")
         hot = hot.join(extended, "key", "left").withColumn("upto", F.coalesce("upto", "need")) if extended is not None else hot.withColumn("upto", F.col("need"))
@@ -172,10 +181,18 @@ def candidates(sig: DataFrame, whole_sets, common: int = COMMON, shard_rows: int
         if short.isEmpty():
             break
         span = F.explode(F.slice("grams", F.col("from") + 1, F.col("next") - F.col("from"))).alias("gram")
-        new = sig.join(short.filter("near"), "key").select("key", span)
+        near = short.filter("near")
+        new = sig.join(_few(near.select("key"), few), "key", "left_semi").join(near, "key").select("key", span)
         if not (far := short.filter("not near")).isEmpty():
             new = new.unionByName(whole_sets(far).join(far, "key").select("key", span))
-        given = given.unionByName(stage(new, "more"))
+        new = stage(new, "more")
+        given = given.unionByName(new)
+        touched = stage(new.select("gram").distinct(), "touched")
+        if touched.count() <= few:  # other shingles are met as often as before
+            again = met(given.join(F.broadcast(touched), "gram", "left_semi"))
+            counts = stage(counts.join(F.broadcast(touched), "gram", "left_anti").unionByName(again), "shared")
+        else:
+            counts = stage(met(given), "shared")
         now = short.select("key", F.col("next").alias("upto"))
         extended = stage(now if extended is None else extended.join(now, "key", "left_anti").unionByName(now), "extended")
     if extended is not None:  # of what these gave, the first: uncommon ones in order, then common ones
@@ -222,7 +239,7 @@ def verified(groups: DataFrame, whole_sets, part: int = PART) -> DataFrame:
     return found.unionByName(stage(_units(rest), "rest"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, shard_rows: int = SHARD_ROWS, part: int = PART) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, shard_rows: int = SHARD_ROWS, part: int = PART, few: int = FEW) -> DataFrame:
     """One row per input row: id, component_id, the smallest id reachable over pairs as similar as SHARE.
 
     Null texts are empty; all texts without words are alike, as are equal texts. A null id takes part but is never a
@@ -236,12 +253,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = stage(sig, "signatures")
 
     def whole_sets(keys: DataFrame) -> DataFrame:
-        wanted = sig.join(keys.select("key"), "key", "left_semi").select("key", F.col("id").alias("i"), "h")
+        wanted = stage(sig.join(_few(keys.select("key"), few), "key", "left_semi").select("key", F.col("id").alias("i"), "h"), "wanted")
         texts = rows.withColumn("h2", F.xxhash64("text"))
+        if (hashes := wanted.select("h")).count() <= few:  # only the texts of these keys move
+            texts = texts.join(F.broadcast(hashes), F.col("h2") == F.col("h"), "left_semi")
         found = texts.join(wanted, (F.col("h2") == F.col("h")) & F.col("id").eqNullSafe(F.col("i"))).select("key", "text")
         return arrow_map(found.dropDuplicates(["key"]), _signatures(True), "key long, grams array<long>")  # a row may repeat
 
-    groups = stage(candidates(sig.drop("id", "h"), whole_sets, common, shard_rows), "groups")
+    groups = stage(candidates(sig.drop("id", "h"), whole_sets, common, shard_rows, few), "groups")
     roots = components(verified(groups, whole_sets, part)).withColumnRenamed("node", "key")
     placed = sig.select("key", "id").join(roots, "key", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -74,7 +74,8 @@ def test_large_groups_common_lines_and_small_parts(spark):
     want, n_links = brute_kept(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert n_links > 1000 and 20 < len(want) < 200
-    for how in ({}, {"common": 3, "part": 16}, {"common": 3, "shard_rows": 10, "part": 7}, {"common": 1000, "part": 1000}):
+    hows = [{}, {"common": 3, "part": 16}, {"common": 3, "shard_rows": 10, "part": 7}, {"common": 1000, "part": 1000}]
+    for how in [*hows, {"common": 3, "part": 16, "few": 0}, {"common": 3, "shard_rows": 10, "part": 7, "few": 60}]:  # nothing or some broadcast
         got = [r["doc_id"] for r in near_copies.keep_one(docs, **how).collect()]
         assert sorted({i for i in got if i is not None}) == want and len(got) - len(set(got)) == (2 if 3 in want else 0), how
 
