@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import classify as C
 from .operators import coverage, enrich, faults, findings, graph, risk, rules
 from .operators.rules import engine, metrics
+from .plans.traverse import cut
 from .sources.workspace import Workspace, with_views
 from .streaming.spans import remote_windows as windows_of
 
@@ -245,8 +246,9 @@ s as (select start, node, min(hops) as hops from t group by start, node),
 b as (select start, min(struct_pack(p := priority, h := hops, n := name)) as b from s join a on a.node = s.node group by start)
 select g.file_id, b.b.n as anchor, coalesce(b.b.h, 0) as hops, round(coalesce((1 - pow(0.5::double, b.b.h)) * 100, 0), 6) as risk from (select distinct file_id from w_findings) g left join b on b.start = g.file_id""")
 def propagation(w):
-    anchors = risk.entrypoints(w.files, w.imports).join(w.files, "file_id").select(F.col("file_id").alias("node"), F.lit(1).alias("priority"), F.col("path").alias("name"))
-    return risk.propagation(w.findings.select("file_id").distinct(), w.imports.withColumn("kind", F.lit("Imports")), anchors)
+    imports = cut(w.imports)  # read three times
+    anchors = risk.entrypoints(w.files, imports).join(w.files, "file_id").select(F.col("file_id").alias("node"), F.lit(1).alias("priority"), F.col("path").alias("name"))
+    return risk.propagation(w.findings.select("file_id").distinct(), imports.withColumn("kind", F.lit("Imports")), anchors)
 
 
 # --- objectives and traces ---------------------------------------------------------------------------------------------

@@ -106,23 +106,36 @@ def propagation(findings_files: DataFrame, edges: DataFrame, anchors: DataFrame,
     product of (1 - weight) over its edges. anchors: (node, priority, name); the lowest priority wins, then fewest hops,
     least chance of not failing, smallest name. Of paths of the same length, the one with the least such chance counts. Without an
     anchor, risk is 0. The walk ends where nothing new is reached, or after ``depth`` hops.
+
+    The walk starts at the anchors and goes from ``src`` to ``dst``, all of them at once: a node keeps only its best anchor
+    within the hops walked, so work grows with the edges, not with pairs of files and what they reach. A node's best anchor is
+    that of a neighbour one hop nearer; an edge that always passes a failure makes all anchors behind it alike, so nodes also
+    keep the smallest name of all of theirs. An edge of no known kind leaves the chance unknown, and the risk 0.
     """
-    weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()])
-    hop = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), (1 - weight).alias("keep")).groupBy("at", "to").agg(F.min("keep").alias("keep"))
     from ..plans.traverse import cut
 
-    seen = frontier = cut(findings_files.select(F.col("file_id").alias("start"), F.col("file_id").alias("node"), F.lit(0).alias("hops"), F.lit(1.0).alias("nofail")))
+    weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()])
+    hop = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), (1 - weight).alias("keep")).filter("at is not null and to is not null")
+    hop = cut(hop.groupBy("at", "to").agg(F.min("keep").alias("keep")))
+
+    def best(df: DataFrame, hops: int) -> DataFrame:
+        by = df.groupBy("node").agg(F.min(F.struct("priority", "nofail", "name")).alias("b"), F.min(F.struct("priority", "least")).alias("l"))
+        return by.select("node", "b.priority", F.lit(hops).alias("hops"), "b.nofail", "b.name", "l.least")
+
+    seen = frontier = cut(best(anchors.filter("node is not null").select("node", "priority", F.lit(1.0).alias("nofail"), "name", F.col("name").alias("least")), 0))
     for k in count(1):
         if depth is not None and k > depth:
             break
-        step = frontier.join(hop, frontier["node"] == hop["at"]).groupBy("start", "to").agg(F.min(F.col("nofail") * F.col("keep")).alias("nofail"))
-        new = step.select("start", F.col("to").alias("node"), F.lit(k).alias("hops"), "nofail").join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        step = frontier.join(hop, frontier["node"] == hop["at"])
+        step = step.select(F.col("to").alias("node"), "priority", (F.col("nofail") * F.col("keep")).alias("nofail"), F.when(F.col("keep") == 0, F.col("least")).otherwise(F.col("name")).alias("name"), "least")
+        had = seen.select(F.col("node").alias("n2"), F.col("priority").alias("p2"))
+        new = best(step, k).join(had, (F.col("node") == F.col("n2")) & (F.col("p2").isNull() | (F.col("p2") <= F.col("priority"))), "left_anti")
         frontier = cut(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    best = seen.join(anchors, "node").groupBy("start").agg(F.min(F.struct("priority", "hops", "nofail", "name")).alias("b"))
-    out = findings_files.join(best, findings_files["file_id"] == best["start"], "left")
+    found = seen.join(findings_files.select(F.col("file_id").alias("node")), "node", "left_semi").groupBy(F.col("node").alias("start")).agg(F.min(F.struct("priority", "hops", "nofail", "name")).alias("b"))
+    out = findings_files.join(found, findings_files["file_id"] == found["start"], "left")
     return out.select("file_id", F.col("b.name").alias("anchor"), F.coalesce("b.hops", F.lit(0)).alias("hops"), F.round(F.coalesce((1 - F.col("b.nofail")) * 100, F.lit(0.0)), 6).alias("risk"))
 
 

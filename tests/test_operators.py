@@ -1,10 +1,13 @@
 """Worked cases: small hand-built graphs, spans, routes and source text."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import classify as C
 from tessera.operators import enrich, findings, graph, risk, rules
 from tessera.operators.rules import metrics
+from tessera.plans import traverse
 from tessera.plans.traverse import bfs
 
 
@@ -33,6 +36,46 @@ def test_propagation_chain(spark):
     assert rows(risk.propagation(files, imports, anchors)) == [(2, "main.py", 1, 50.0), (3, "main.py", 2, 75.0), (9, None, 0, 0.0)]
 
 
+def walked(files, edges, anchors, depth=None):
+    """Propagation by a walk from each file, in the terms of its definition."""
+    keep = {k: 1 - w for k, w in risk.WEIGHTS.items()}
+    out = []
+    for f in files:
+        seen, front, k = {f: (0, 1.0)}, {f: 1.0}, 0
+        while front and (depth is None or k < depth):
+            k, new = k + 1, {}
+            for s, d, kind in edges:
+                if d in front and s not in seen:
+                    new[s] = min(new.get(s, 9.0), front[d] * keep[kind])
+            seen |= {n: (k, p) for n, p in new.items()}
+            front = new
+        found = [(pri, *seen[n], name) for n, pri, name in anchors if n in seen]
+        _, hops, nofail, name = min(found, default=(0, 0, 1.0, None))
+        out.append((f, name, hops, round((1 - nofail) * 100, 6)))
+    return sorted(out, key=repr)
+
+
+def test_propagation_of_kinds_priorities_and_cycles(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.choice(list(risk.WEIGHTS))) for _ in range(70)]
+    anchors = [(rng.randrange(40), rng.randrange(3), f"a{k % 7}") for k in range(9)]
+    files = list(range(42))
+    got = lambda depth: rows(risk.propagation(spark.createDataFrame([(f,) for f in files], "file_id long"), spark.createDataFrame(edges + [(None, 3, "Calls"), (3, None, "Calls")], "src long, dst long, kind string"), spark.createDataFrame(anchors, "node long, priority int, name string"), depth))
+    for depth in (None, 0, 2):
+        assert got(depth) == walked(files, edges, anchors, depth)
+
+
+def test_propagation_work_grows_with_edges(spark, monkeypatch):
+    """Each hop writes a row per node at most, not one per pair of a file and what it reaches."""
+    written = []
+    monkeypatch.setattr(traverse, "cut", lambda df, *a, f=traverse.cut: written.append((out := f(df, *a)).count()) or out)
+    edges = [(0, k, "Imports") for k in range(1, 41)] + [(a, b, "Imports") for a in range(50, 90) for b in (0, 100)]
+    files = [(k,) for k in range(1, 41)]
+    got = rows(risk.propagation(spark.createDataFrame(files, "file_id long"), spark.createDataFrame(edges, "src long, dst long, kind string"), spark.createDataFrame([(a, 1, f"e{a}") for a in range(50, 90)], "node long, priority int, name string")))
+    assert got == sorted([(k, "e50", 2, 75.0) for (k,) in files], key=repr)
+    assert sum(written) <= 2 * len(edges)  # was 1800 and more: forty files by forty anchors
+
+
 def test_severity_never_downgraded(spark):
     for base, entries, affected, want in ((4, 0, 0, 4), (1, 1, 9, 4), (1, 1, 0, 3), (1, 0, 9, 2), (3, 0, 9, 3), (1, 0, 0, 1)):
         assert one(spark, risk.effective_severity(F.lit(base), F.lit(entries), F.lit(affected))) == want
