@@ -6,7 +6,7 @@ smoothed log ratio of their shares, so it doesn't depend on its length. A docume
 and its score is at least LIMIT.
 
 Only DataFrame functions run. Statistics, n-grams and scores are array expressions within a row: a document stays in
-its task whatever its length, and nothing but counts per bin is shuffled. The ratios of all bins, a fixed number, are
+its task whatever its length, and nothing but counts per bin and trusted ids is shuffled, unless these are too many to send (``marked``). The ratios of all bins, a fixed number, are
 part of the plan.
 """
 
@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 #: Added to each bin's counts, as a share of the mean count of a bin; a document's mean log ratio at least.
 SMOOTH, LIMIT = 0.5, -0.15
 MIN_WORDS, MOST_REPEATED = 50, 50
+#: Words of 64 trusted ids, or ids that aren't whole numbers, that are broadcast at most: 4 MiB with their numbers where ids are dense (16 million take as many), some 30 MiB where none shares a block.
+WORDS_SENT = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -70,13 +72,32 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.select("id", "words", long(F.size("words")).alias("n_words"), long(F.col("word_chars")).alias("word_chars"), long(F.col("n_symbols")).alias("n_symbols"), long(F.col("n_dup_lines")).alias("n_dup_lines"), long(F.coalesce(covered, F.lit(0))).alias("n_repeat_words"))
 
 
+def marked(docs: DataFrame, trusted_ids: DataFrame, most: int = WORDS_SENT) -> DataFrame:
+    """``docs`` with ``good``, 1 for trusted ids, else null. Texts don't move: trusted whole numbers are sent to them as bits, 64 ids a word.
+
+    Ids of other types are sent as they are. Only where these are more than ``most`` words or ids are documents joined by a shuffle.
+    """
+    chosen = trusted_ids.select("id").filter("id is not null")
+    whole = all(df.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") for df in (docs, chosen))
+    if not whole:
+        ids = chosen.distinct().withColumn("good", F.lit(1))
+        return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "id", "left")
+    n, bit = F.col("id").cast("long"), F.expr("shiftleft(1L, cast(id & 63 as int))")
+    words_of = chosen.groupBy(F.shiftright(n, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    if words_of.count() > most:
+        return docs.join(chosen.distinct().withColumn("good", F.lit(1)), "id", "left")
+    # 64 words to a row, so that a row's own size counts little where ids are dense
+    blocks = words_of.groupBy(F.shiftright("word", 6).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("sent"))
+    found = docs.withColumn("block", F.shiftright(n, 12)).join(F.broadcast(blocks), "block", "left")
+    return found.withColumn("good", F.when(F.try_element_at("sent", F.shiftright(n, 6)).bitwiseAND(bit) != 0, 1)).drop("block", "sent")
+
+
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> list[float]:
     """Per bin, the log of the trusted share over the raw share; 0 everywhere without trusted documents.
 
     ``docs`` is (id, text), ``trusted_ids`` is (id), of any number.
     """
-    chosen = trusted_ids.select("id").filter("id is not null").distinct().withColumn("good", F.lit(1))
-    d = docs.select("id", text_or_empty("text").alias("text")).join(chosen, "id", "left").select("good", words(F.col("text")).alias("words"))
+    d = marked(docs.select("id", "text"), trusted_ids).select("good", words(text_or_empty("text")).alias("words"))
     each = d.select("good", bins("words", buckets).alias("bins")).select("good", F.explode_outer("bins").alias("bin")).filter("bin is not null")
     counts = each.groupBy("bin").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # a row per bin at most
     raw, good = [0] * buckets, [0] * buckets
