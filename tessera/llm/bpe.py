@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick
+from .common import arrow_map, pick, remembered
 
 #: Words that a worker remembers, and bytes that are cut at once.
 REMEMBERED, AT_ONCE = 700_000, 8 << 20
@@ -276,8 +276,16 @@ def chunks(column: pa.Array, size: int = AT_ONCE) -> Iterator[list[bytes]]:
 _lexicons: dict = {}
 
 
+def _forget() -> None:
+    _lexicons.clear()
+    load.cache_clear()
+
+
+remembered(("bpe",), _forget)
+
+
 def _worker_lexicon(path: str, kind: str, kept) -> Lexicon:
-    """A worker's own memory outlives its tasks."""
+    """A worker's own memory outlives its tasks, until one of another operator begins."""
     if (path, kind) not in _lexicons:
         bpe = load(path)
         _lexicons[path, kind] = Lexicon(bpe, bpe.encode_words, kept=kept(bpe))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,46 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+#: What operators remember in a Python worker beyond their tasks: the modules that use it, and what forgets it.
+_remembered: list = []
+
+
+def remembered(users: tuple[str, ...], forget) -> None:
+    """``forget`` runs in a worker as it begins a task of another module than ``users``, named without the package."""
+    _remembered.append((users, forget))
+
+
+def _begin(module: str) -> None:
+    for users, forget in _remembered:
+        if module.rpartition(".")[2] not in users:
+            forget()
+
+
+def _give_back() -> None:
+    """Memory that a task freed, from the allocators to the system: a worker waits for its next task beside the JVM's work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+
+
+def _lean(run, module: str):
+    def go(batches):
+        _begin(module)
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return go
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers, which hold no other operator's memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_lean(run, run.__module__), schema)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Lexicon, byte_chars, chunks, load
-from .common import arrow_map, fresh_path, pick
+from .common import arrow_map, fresh_path, pick, remembered
 
 MAGIC, HEADER = b"TSHD0001", struct.Struct("<8sIIIIQ")  # magic, id width, rows, rows with a null id, levels, payload bytes
 SHARD_BYTES = 4 << 20
@@ -149,6 +149,7 @@ class Shard:
 
 
 _lexicons: dict = {}
+remembered(("token_files",), _lexicons.clear)
 
 
 def _library(path: str, end: int | None) -> Lexicon:
