@@ -73,7 +73,7 @@ def test_propagation_work_grows_with_edges(spark, monkeypatch):
     files = [(k,) for k in range(1, 41)]
     got = rows(risk.propagation(spark.createDataFrame(files, "file_id long"), spark.createDataFrame(edges, "src long, dst long, kind string"), spark.createDataFrame([(a, 1, f"e{a}") for a in range(50, 90)], "node long, priority int, name string")))
     assert got == sorted([(k, "e50", 2, 75.0) for (k,) in files], key=repr)
-    assert sum(written) <= 2 * len(edges)  # was 1800 and more: forty files by forty anchors
+    assert sum(written) <= 2 * len(edges)  # not forty files by forty anchors
 
 
 def test_severity_never_downgraded(spark):
